@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 
 WIDTH = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SPACE = np.zeros(256, bool)

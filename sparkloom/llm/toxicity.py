@@ -14,6 +14,7 @@ score is low; repeated rows score alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ from sparkloom.llm.common import bounded_batches, slices
 FIT_ROWS, CANDIDATES, VOTERS = 20_000, 4_000, 256
 #: A candidate has to occur in so many toxic texts, and its rate there has to be so many times that in clean texts.
 LEAST_TOXIC, LEAST_LIFT = 3, 6.0
+FALSE_RATE = 0.02
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")
@@ -150,6 +152,26 @@ def _counted(sample: DataFrame, toxic: int, wanted: set[str] | None) -> DataFram
     return sample.filter(F.col("toxic") == toxic).select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def chosen_voters(positive: dict[str, int], negative: dict[str, int], toxic_texts: int, clean_texts: int) -> list[str]:
+    """The features whose share of toxic texts is too high for chance, at a false discovery rate of ``FALSE_RATE``, those
+    that tell most first."""
+    base, tested = toxic_texts / max(1, toxic_texts + clean_texts), []
+    for feature, n in positive.items():
+        other = negative.get(feature, 0)
+        lift = (n / (toxic_texts + 1)) / ((other + 1) / (clean_texts + 1))
+        if lift >= LEAST_LIFT:
+            tested.append((_tail(n, n + other, base), -n * math.log(lift), feature))
+    tested.sort()
+    passed = max((i for i, (chance, _, _) in enumerate(tested, 1) if chance <= FALSE_RATE * i / len(positive)), default=0)
+    return [f for _, f in sorted(t[1:] for t in tested[:passed])[:VOTERS]]
+
+
+def _tail(hits: int, tries: int, rate: float) -> float:
+    """The chance of at least ``hits`` in ``tries`` at ``rate``."""
+    logs = [math.lgamma(tries + 1) - math.lgamma(k + 1) - math.lgamma(tries - k + 1) + k * math.log(rate) + (tries - k) * math.log1p(-rate) for k in range(hits, tries + 1)] if 0 < rate < 1 else [0.0]
+    return min(1.0, sum(math.exp(x) for x in logs))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model from the training rows among ``labels`` (doc_id, toxic) and their texts in ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
@@ -164,12 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     first = _counted(sample, 1, None).filter(F.col("n") >= LEAST_TOXIC).orderBy(F.desc("n"), "feature").limit(CANDIDATES)
     positive = {r["feature"]: r["n"] for r in first.collect()}
     negative = {r["feature"]: r["n"] for r in _counted(sample, 0, set(positive)).collect()} if positive else {}
-    ranked = []
-    for feature, n in positive.items():
-        lift = (n / (toxic_texts + 1)) / ((negative.get(feature, 0) + 1) / (clean_texts + 1))
-        if lift >= LEAST_LIFT:
-            ranked.append((-n * np.log(lift), feature))
-    voters = [f for _, f in sorted(ranked)[:VOTERS]]
+    voters = chosen_voters(positive, negative, toxic_texts, clean_texts)
     words = [f for f in voters if not f.endswith("*")]
     starts = [f[:-1] for f in voters if f.endswith("*")]
     blank = Model({w: i for i, w in enumerate(words)}, {s: len(words) + i for i, s in enumerate(starts)}, np.zeros(0), 0.0)

@@ -31,7 +31,7 @@ from sparkloom.llm.common import bounded_batches, slices
 FIT_ROWS, CANDIDATES, VOTERS = 20_000, 4_000, 256
 #: A candidate has to occur in so many toxic texts, and its rate there has to be so many times that in clean texts.
 LEAST_TOXIC, LEAST_LIFT = 3, 6.0
-FALSE_RATE = 0.02
+FALSE_RATE = 0.3
 BEGINNINGS = (4, 5, 6)
 FOLDS = 5
 _WORD = re.compile(r"[^\W_]+")

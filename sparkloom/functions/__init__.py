@@ -1 +1 @@
-
+"""Column to Column functions; all of them stay inside the JVM."""

@@ -65,4 +65,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc_zip": archives.ORACLE, "op9_block_search": block_search.ORACLE}
+    return {"op3_near_dedup": near_dedup.ORACLE, "op7_warc_zip": archives.ORACLE, "op9_block_search": block_search.ORACLE}

@@ -49,11 +49,3 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
-
-ORACLE = f"""
-WITH d AS (SELECT doc_id, text, strlen(coalesce(text, '')) + 1 AS size FROM documents),
-p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS whole FROM d),
-s AS (SELECT doc_id, size, CAST((start * {SHARDS}) // whole AS INTEGER) AS shard FROM p)
-SELECT doc_id, CAST(size AS BIGINT) AS size, 'bytes' AS law, shard,
-       CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot FROM s
-"""

@@ -1,10 +1,10 @@
 """Byte-level BPE encoding by a lazily determinised transducer, and decoding with an incremental UTF-8 machine.
 
-The transducer reads a piece byte by byte. A BPE encoding is valid exactly if each pair of neighbouring tokens is, and the last
-token of every prefix is unique; so a configuration is the set of places where the token under way may have begun, each
-with its node in the token trie and the tokens before it that are not out yet. A token is emitted as soon as all places agree
-on it, which takes a lookahead of less than the longest token. Configurations get numbers and their byte transitions are
-kept as they are met.
+A BPE encoding is valid exactly if each pair of neighbouring tokens is, and the last token of every prefix is unique. The
+transducer reads a piece byte by byte; its state is the set of open beginnings, places where a token under way may have
+begun, each as a node of the token trie with the token that ends before it. With each byte it gives the token that ends
+there in the encoding of the prefix. Those on the way back from every open beginning are certain and are emitted, which
+takes a lookahead of less than the longest token. States get numbers, and transitions are computed when they are first met.
 
 Defined cases: null or empty text has no tokens; text of any length is encoded whole; texts that look like special tokens
 are ordinary text; tokens that BPE never builds from their own bytes are emitted only for a piece equal to them.
@@ -26,6 +26,8 @@ from sparkloom.llm.common import bounded_batches, slices
 KEPT_PIECES = 400_000
 KEPT_STEPS = 500_000
 KEPT_LENGTH = 64
+#: Bytes of a piece beyond which its tokens are emitted as they become certain.
+LONG = 1024
 _FLUSH = 1 << 16
 #: The characters with the Unicode property White_Space, and the pattern whose pieces never cross from one
 #: word into the next one but by the single space that begins it.
@@ -54,19 +56,23 @@ class Transducer:
             at[node] = rank
         self.token_at = [at.get(node, -1) for node in range(len(self.children) + 1)]
         self.inner = [node in inner for node in range(len(self.children) + 1)]
+        self.depth = [0] * (len(self.children) + 1)
+        for key, node in self.children.items():
+            self.depth[node] = self.depth[key >> 8] + 1
         self.text = {rank: token for token, rank in ranks.items()}
+        self.length = {rank: len(token) for token, rank in ranks.items()}
         self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self._restart()
 
     def _restart(self) -> None:
-        # a configuration: the last token out, and for each possible beginning (node, tokens before it that are not out)
-        self.configurations = [(-1, ((0, ()),))]
-        self.numbers = {self.configurations[0]: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        # a state: for each open beginning its node and the token before it (-1: none), the one that begins here last
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.numbers = {self.states[0]: 0}
+        self.steps: dict[int, int] = {}
 
     def merged(self, piece: bytes) -> list[int]:
-        """Tokens by repeatedly joining the leftmost pair of least rank."""
+        """Tokens by repeatedly joining the leftmost pair of least rank: the definition, for checks."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             least, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
@@ -122,40 +128,29 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        out, places = self.configurations[number]
+    def _step(self, number: int, byte: int) -> int:
+        """The next state's number and the token that ends at this byte, in one integer."""
         child, token_at, inner, pair = self.children.get, self.token_at, self.inner, self.pairs.get
-        ahead, whole, held = [], None, 1 << 30
-        for node, waiting in places:
+        ahead, ends = [], -1
+        for node, before in self.states[number]:
             node = child(node << 8 | byte)
             if node is None:
                 continue
-            if whole is None and (token := token_at[node]) >= 0:
-                before = waiting[-1] if waiting else out
+            if ends < 0 and (token := token_at[node]) >= 0:
                 fits = pair(before << 24 | token)
                 if fits or fits is None and self._fits(before, token):
-                    whole = (*waiting, token)
+                    ends = token
             if inner[node]:
-                ahead.append((node, waiting))
-                held = min(held, len(waiting))
-        if whole is None:
+                ahead.append((node, before))
+        if ends < 0:
             raise ValueError("the ranks lack a single byte")
-        ahead.append((0, whole))
-        shared = 0
-        if held:
-            shortest = min(held, len(whole))
-            while shared < shortest and all(w[shared] == whole[shared] for _, w in ahead):
-                shared += 1
-        if shared:
-            emitted = whole[:shared]
-            new = (emitted[-1], tuple([(n, w[shared:]) for n, w in ahead]))
-        else:
-            emitted, new = (), (out, tuple(ahead))
+        ahead.append((0, ends))
+        new = tuple(ahead)
         to = self.numbers.get(new)
         if to is None:
-            to = self.numbers[new] = len(self.configurations)
-            self.configurations.append(new)
-        self.steps[number << 8 | byte] = found = (to, emitted)
+            to = self.numbers[new] = len(self.states)
+            self.states.append(new)
+        self.steps[number << 8 | byte] = found = to << 24 | ends
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -165,15 +160,54 @@ class Transducer:
             return [token]
         if len(self.steps) >= self.kept_steps:
             self._restart()
-        at, ids, step = 0, [], self.steps.get
+        if len(piece) > LONG:
+            return [t for some in self.stream(piece) for t in some]
+        at, step, ends = 0, self.steps.get, []
         for byte in piece:
-            found = step(at << 8 | byte) or self._step(at, byte)
-            at = found[0]
-            if found[1]:
-                ids += found[1]
-        # at the end of input the place that begins a new token holds the whole encoding
-        ids += self.configurations[at][1][-1][1]
-        return ids
+            found = step(at << 8 | byte)
+            if found is None:
+                found = self._step(at, byte)
+            ends.append(found & 0xFFFFFF)
+            at = found >> 24
+        return self._way(ends, len(ends), 0)
+
+    def _way(self, ends: list[int], place: int, back_to: int) -> list[int]:
+        """The tokens on the way back from ``place``, in order."""
+        length, out = self.length, []
+        while place > back_to:
+            token = ends[place - 1]
+            out.append(token)
+            place -= length[token]
+        out.reverse()
+        return out
+
+    def stream(self, piece: bytes) -> Iterator[list[int]]:
+        """The ids of one piece as they become certain; what is held back is shorter than twice the longest token and ``LONG``."""
+        at, ends, depth = 0, [], self.depth
+        for byte in piece:
+            if len(self.steps) >= self.kept_steps:
+                here = self.states[at]
+                self._restart()
+                at = self.numbers.setdefault(here, len(self.states))
+                if at == len(self.states):
+                    self.states.append(here)
+            found = self.steps.get(at << 8 | byte)
+            if found is None:
+                found = self._step(at, byte)
+            ends.append(found & 0xFFFFFF)
+            at = found >> 24
+            if len(ends) >= LONG:
+                # open beginnings lie as far back as their nodes are deep; walk the farthest back to a place that all share
+                open_at = {len(ends) - depth[node] for node, _ in self.states[at]}
+                while len(open_at) > 1:
+                    last = max(open_at)
+                    open_at.remove(last)
+                    open_at.add(last - self.length[ends[last - 1]])
+                (sure,) = open_at
+                if sure > 0:
+                    yield self._way(ends, sure, 0)
+                    del ends[:sure]
+        yield self._way(ends, len(ends), 0)
 
 
 class _Pieces(dict):

@@ -87,12 +87,17 @@ POLITICIAN = "https://www.abgeordnetenwatch.de/politician/"
 MANDATE = "https://www.abgeordnetenwatch.de/api/v2/candidacies-mandates/"
 
 
+#: A letter that stood in a single manuscript (of the plane that the JVM keeps in one unit).
+_HELD = "\ua66e"
+
+
 def topic_text(x: Column) -> Column:
     """Text for an embedding model: without URLs and the signs of mentions and tags, white space tidied line by line."""
     x = F.regexp_replace(x, r"(?iuU)(?:https?://|www\.)\S+", " ")
-    # underscores of a tag first, while its sign still tells it from other words
-    x = F.regexp_replace(x, r"(?U)(?<=(?<!\w)[@#]\w{0,200})_", " ")
-    x = F.regexp_replace(x, r"(?U)(?<!\w)[@#](?=[\w ])(?! )", "")
+    # a tag's underscores become a letter that texts do not have, so that the tag still ends where it did; then blanks
+    x = F.regexp_replace(x, r"(?U)(?<=(?<!\w)[@#]\w{0,200})_", _HELD)
+    x = F.regexp_replace(x, r"(?U)(?<!\w)[@#](?=\w)", "")
+    x = F.replace(x, F.lit(_HELD), F.lit(" "))
     x = F.regexp_replace(x, r"(?U)[^\S\n]+", " ")
     x = F.regexp_replace(x, r"(?m)^ | $", "")
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))

@@ -65,6 +65,7 @@ class PagedReader(DataSourceReader):
 
 
 def register(spark) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedSource)
 
 

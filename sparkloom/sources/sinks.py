@@ -46,7 +46,7 @@ def publish(df: DataFrame, root: str) -> str:
     df.write.parquet(place)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    temporary, pointer = path(f"{root}/.current-{version}"), path(f"{root}/_current")
+    temporary, pointer = path(f"{root}/current-{version}.tmp"), path(f"{root}/current")
     out = system.create(temporary, True)
     out.write(bytearray(place.encode()))
     out.close()
@@ -58,7 +58,7 @@ def publish(df: DataFrame, root: str) -> str:
 
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The version that was published last."""
-    place = spark.read.text(f"{root.rstrip('/')}/_current").first()["value"]
+    place = spark.read.text(f"{root.rstrip('/')}/current").first()["value"]
     return spark.read.parquet(place)
 
 

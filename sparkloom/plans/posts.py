@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import evidence, normalize, vectors
@@ -10,7 +10,7 @@ from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
 
-def _json(**parts) -> F.Column:
+def _json(**parts: Column) -> Column:
     return F.parse_json(F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()])))
 
 

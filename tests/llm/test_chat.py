@@ -40,9 +40,6 @@ def test_repair_has_least_cost(n):
     for given in itertools.product(range(4), repeat=n):
         out = chat.pieces(np.array(given), ["x"] * n, chat._BEGIN, None, True)
         assert sum(o[3] for o in out) == cheapest(given), given
-        roles = []
-        for action, role, inserted, _, _ in out:
-            pass
         text = "".join(o[4] for o in out)
         roles = [line.removeprefix("<|im_start|>") for line in text.split("\n") if line.startswith("<|im_start|>")]
         body = roles[1:] if roles[0] == "system" else roles

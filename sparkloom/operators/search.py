@@ -49,15 +49,14 @@ def parse(query: str) -> list[list[Term]]:
     return clauses
 
 
-def _hit(term: Term, words: Column) -> Column:
-    first, rest = term.words[0], term.words[1:]
-    if term.prefix and not rest:
-        found = F.exists(words, lambda w: w.startswith(first))
-    elif rest:
-        n = len(term.words)
-        found = F.exists(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.slice(words, i, n) == F.array(*[F.lit(w) for w in term.words]))
-    else:
-        found = F.array_contains(words, first)
+def _flat(text: Column) -> Column:
+    """The words of a text between single blanks, with one at each end: every term is then a contained string."""
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", " "))
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
+def _hit(term: Term, flat: Column) -> Column:
+    found = flat.contains(f" {' '.join(term.words)}{'' if term.prefix else ' '}")
     return ~found if term.negative else found
 
 
@@ -66,12 +65,12 @@ def search(docs: DataFrame, key: str, text: str, query: str, cap: int | None = C
     clauses = parse(query)
     if not clauses:
         return docs.select(key).limit(0)
-    words = tokens(F.col(text))
+    flat = _flat(F.col(text))
     held = F.lit(True)
     for clause in clauses:
         any_of = F.lit(False)
         for term in clause:
-            any_of = any_of | _hit(term, words)
+            any_of = any_of | _hit(term, flat)
         held = held & any_of
     found = docs.filter(held).select(key)
     return found.limit(cap) if cap else found

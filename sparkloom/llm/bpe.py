@@ -20,11 +20,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkloom.llm.common import bounded_batches, slices
+from sparkloom.llm.common import bounded_batches, kept_by, slices
 
 #: Entries that a worker keeps of encoded pieces, pairs and transitions before it starts anew.
-KEPT_PIECES = 400_000
-KEPT_STEPS = 500_000
+KEPT_WORDS, KEPT_PIECES = 120_000, 60_000
+KEPT_STEPS = 250_000
 KEPT_LENGTH = 64
 #: Bytes of a piece beyond which its tokens are emitted as they become certain.
 LONG = 1024
@@ -210,36 +210,49 @@ class Transducer:
         yield self._way(ends, len(ends), 0)
 
 
-class _Pieces(dict):
+class _Kept(dict):
+    """What was encoded lately, in two generations: a full one becomes the old one, and what is asked for again moves on."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most = most
+        self.old: dict[str, bytes] = {}
+
+    def encoded(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        packed = self.old.get(key)
+        if packed is None:
+            packed = self.encoded(key)
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = packed
+        return packed
+
+
+class _Pieces(_Kept):
     """Encoded pieces: little-endian 32-bit ids, packed."""
 
     def __init__(self, machine: Transducer) -> None:
-        super().__init__()
+        super().__init__(KEPT_PIECES)
         self.machine = machine
 
-    def __missing__(self, piece: str) -> bytes:
-        packed = array("I", self.machine.encode(piece.encode())).tobytes()
-        if len(piece) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[piece] = packed
-        return packed
+    def encoded(self, key: str) -> bytes:
+        return array("I", self.machine.encode(key.encode())).tobytes()
 
 
-class _Words(dict):
+class _Words(_Kept):
     """Encoded runs between single spaces, keyed without the space before them."""
 
     def __init__(self, codec: Codec) -> None:
-        super().__init__()
+        super().__init__(KEPT_WORDS)
         self.codec = codec
 
-    def __missing__(self, word: str) -> bytes:
-        packed = self.codec.encode_pieces(" " + word)
-        if len(word) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
-                self.clear()
-            self[word] = packed
-        return packed
+    def encoded(self, key: str) -> bytes:
+        return self.codec.encode_pieces(" " + key)
 
 
 class Codec:
@@ -329,6 +342,7 @@ _codecs: dict[tuple[bytes, str], Codec] = {}
 
 def codec_for(rank_file: bytes, pattern: str) -> Codec:
     """The worker's codec, kept between tasks with what it has learnt."""
+    kept_by["bpe"] = _codecs.clear
     key = (hashlib.sha1(rank_file).digest(), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(parse_ranks(rank_file), pattern)
@@ -347,7 +361,7 @@ def tokenized(docs: DataFrame, rank_file: bytes, pattern: str, with_ids: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_for(shared.value, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", owner="bpe"):
             count, first, second, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
                 packed = codec.encode_packed(text or "")

@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker takes from a batch at a time.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Rows of a key list that may be broadcast (8 bytes a row and some overhead); beyond it a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
 _own: dict[str, str] = {}
@@ -61,13 +61,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 * SLICE_BYTES) -> None:
+def bounded_batches(spark: SparkSession, most: int = 2 * SLICE_BYTES) -> None:
     """Arrow batches to Python workers hold about this many bytes, however long the texts."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least."""
+#: What a worker keeps between tasks, by owner: how to drop it.
+kept_by: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Batches cut so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least. What other owners
+    keep in this worker is dropped first, so that the stages of a pipeline do not pile up memory."""
+    for other in [o for o in kept_by if o != owner]:
+        kept_by.pop(other)()
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         at = held = 0

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from sparkloom.llm import bpe, decontaminate, near_dedup, secrets, toxicity
 from sparkloom.llm.common import small, stage
 
+#: Least similarity, in percent, of near-duplicates here; op3_near_dedup has a tighter one of its own.
+LINKED = 80
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic; it is fitted on the labelled training rows among them."""
@@ -15,8 +18,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """One document of each group of near-duplicates (similarity of word shingles LINKED % or more), that with the smallest doc_id."""
+    found = near_dedup.near_duplicates(docs, percent=LINKED).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
     gone = small(stage(found, "gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 

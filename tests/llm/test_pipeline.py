@@ -50,3 +50,13 @@ def test_all_stages(spark, tmp_path):
         if doc_id in got:
             text = (text or "").replace(live, "[SECRET]")
             assert (got[doc_id].n_tokens, got[doc_id].decoded_sha256) == (len(reference.encode_ordinary(text)), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_near_copies_from_80_percent_on(spark):
+    base = [f"w{i}" for i in range(105)]  # 101 shingles
+    edited = lambda *at: " ".join("odd" if i in at else x for i, x in enumerate(base))
+    other = " ".join(f"v{i}" for i in range(105))
+    # two edits: 91 of 111 shingles are common (0.82); three: 86 of 116 (0.74)
+    rows = [(1, " ".join(base)), (2, edited(30, 70)), (3, edited(20, 50, 80)), (4, other), (5, None), (6, None)]
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 5, 6]

@@ -95,7 +95,8 @@ def topic_text(x: Column) -> Column:
     """Text for an embedding model: without URLs and the signs of mentions and tags, white space tidied line by line."""
     x = F.regexp_replace(x, r"(?iuU)(?:https?://|www\.)\S+", " ")
     # a tag's underscores become a letter that texts do not have, so that the tag still ends where it did; then blanks
-    x = F.regexp_replace(x, r"(?U)(?<=(?<!\w)[@#]\w{0,200})_", _HELD)
+    # (one after another from the sign on: looking back from every place costs far too much on whole texts, and needs a bound)
+    x = F.regexp_replace(x, r"(?U)((?<!\w)[@#][^\W_]*|\G(?<=_)[^\W_]*)_", "$1" + _HELD)
     x = F.regexp_replace(x, r"(?U)(?<!\w)[@#](?=\w)", "")
     x = F.replace(x, F.lit(_HELD), F.lit(" "))
     x = F.regexp_replace(x, r"(?U)[^\S\n]+", " ")

@@ -12,14 +12,14 @@ from sparkloom.registry import query
 
 
 @query("clean_topic_text", r"""
-WITH c AS (SELECT doc_id, 'see https://x.example/' || doc_id || '/a_b  now' || chr(9) || ' @john_doe and #some_tag_here' || chr(10) || chr(10) || chr(10) || chr(10) || ' WWW.site.org ' || left(text, 40) AS t FROM documents WHERE lang = 'en'),
+WITH c AS (SELECT doc_id, 'see https://x.example/' || doc_id || '/a_b  now' || chr(9) || ' @john_doe and #some_tag_here' || chr(10) || chr(10) || chr(10) || chr(10) || ' WWW.site.org ' || text AS t FROM documents WHERE lang = 'en'),
 u AS (SELECT doc_id, regexp_replace(t, '(?i)(https?://|www\.)\S+', ' ', 'g') AS t FROM c),
 g AS (SELECT doc_id, replace(replace(t, '@john_doe', 'john doe'), '#some_tag_here', 'some tag here') AS t FROM u),
 s AS (SELECT doc_id, regexp_replace(t, '[ \t\r\f]+', ' ', 'g') AS t FROM g),
 l AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(x)), chr(10)) AS t FROM s)
 SELECT doc_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS cleaned FROM l""")
 def clean_topic_text(spark: SparkSession, d: str) -> DataFrame:
-    made = F.concat(F.lit("see https://x.example/"), F.col("doc_id").cast("string"), F.lit("/a_b  now\t @john_doe and #some_tag_here\n\n\n\n WWW.site.org "), F.left("text", F.lit(40)))
+    made = F.concat(F.lit("see https://x.example/"), F.col("doc_id").cast("string"), F.lit("/a_b  now\t @john_doe and #some_tag_here\n\n\n\n WWW.site.org "), F.col("text"))
     return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", fx.topic_text(made).alias("cleaned"))
 
 
@@ -110,9 +110,9 @@ def segment_pivot(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", *[evidence.segment_text(F.col("s"), k).alias(n) for k, n in (("title", "post_title"), ("body", "post_text"), ("description", "post_description"))])
 
 
-@query("escape_html", """SELECT page_id, replace(replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
+@query("escape_html", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM pages""")
 def escape_html(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", fx.escape_html(F.left("html", F.lit(400))).alias("escaped"))
+    return table(spark, d, "pages").select("page_id", fx.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("plain_text", r"""

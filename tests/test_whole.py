@@ -49,3 +49,16 @@ def test_tags_of_any_length(spark):
     rows = ["@" + "ab_" * 150 + "c_d plain_word", "_@a_b", "#_a__b_ x_y", "a@b_c_d #e_f@g_h", "@ä_ö_ü_ #_", "_a @@b_c", "a\n_b\n@c_d_\n_e"]
     got = spark.createDataFrame(list(enumerate(rows)), "i int, x string").select("i", fx.topic_text(F.col("x")).alias("y")).orderBy("i").collect()
     assert [r.y for r in got] == [topic(x) for x in rows]
+
+
+def test_sync_of_every_order(spark, tmp_path):
+    # order 1: one line of each kind; 5: only an old one, so it is not touched; 7: both
+    line = [(1, 1, 5.0), (1, 2, 20.0), (1, 3, 45.0), (5, 1, 5.0), (7, 1, 20.0), (7, 1, 20.0)]
+    got, sql = both(spark, tmp_path, "mention_sync", {"lineitem": (line, "l_orderkey long, l_linenumber int, l_quantity double")})
+    assert got == sql == [(1, 1, "deleted"), (1, 2, "unchanged"), (1, 3, "created"), (7, 1, "unchanged")]
+
+
+def test_orphans_of_every_id(spark, tmp_path):
+    tables = {"labels": ([(1, 1, 0), (7, 1, 0), (8, 0, 1), (14, 0, 1)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, "a"), (14, "b")], "item_id long, text string")}
+    got, sql = both(spark, tmp_path, "check_orphans", tables)
+    assert got == sql == [(7,), (8,)]

@@ -12,7 +12,7 @@ from sparkloom.registry import query
 
 
 @query("clean_topic_text", r"""
-WITH c AS (SELECT doc_id, 'see https://x.example/' || doc_id || '/a_b  now' || chr(9) || ' @john_doe and #some_tag_here' || chr(10) || chr(10) || chr(10) || chr(10) || ' WWW.site.org ' || text AS t FROM documents WHERE lang = 'en'),
+WITH c AS (SELECT doc_id, 'see https://x.example/' || doc_id || '/a_b  now' || chr(9) || ' @john_doe and #some_tag_here' || chr(10) || chr(10) || chr(10) || chr(10) || ' WWW.site.org ' || text AS t FROM documents),
 u AS (SELECT doc_id, regexp_replace(t, '(?i)(https?://|www\.)\S+', ' ', 'g') AS t FROM c),
 g AS (SELECT doc_id, replace(replace(t, '@john_doe', 'john doe'), '#some_tag_here', 'some tag here') AS t FROM u),
 s AS (SELECT doc_id, regexp_replace(t, '[ \t\r\f]+', ' ', 'g') AS t FROM g),
@@ -20,48 +20,48 @@ l AS (SELECT doc_id, array_to_string(list_transform(string_split(t, chr(10)), la
 SELECT doc_id, trim(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS cleaned FROM l""")
 def clean_topic_text(spark: SparkSession, d: str) -> DataFrame:
     made = F.concat(F.lit("see https://x.example/"), F.col("doc_id").cast("string"), F.lit("/a_b  now\t @john_doe and #some_tag_here\n\n\n\n WWW.site.org "), F.col("text"))
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", fx.topic_text(made).alias("cleaned"))
+    return table(spark, d, "documents").select("doc_id", fx.topic_text(made).alias("cleaned"))
 
 
 @query("redact_global", r"""
-SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\bidiot\b', '[X]', 'g'), '(?i)\b(lo)(ser)\b', '\2-\1', 'g') AS text FROM documents WHERE lang = 'en'""")
+SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\bidiot\b', '[X]', 'g'), '(?i)\b(lo)(ser)\b', '\2-\1', 'g') AS text FROM documents""")
 def redact_global(spark: SparkSession, d: str) -> DataFrame:
     rules = [redaction.Rule("idiot", "[X]"), redaction.Rule(r"\b(lo)(ser)\b", r"\2-\1", is_regex=True), redaction.Rule("(", "[Y]", is_regex=True), redaction.Rule("the", "[Z]", enabled=False)]
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return redaction.redact_posts(docs, "text", rules, key="doc_id")
 
 
 @query("redact_scoped", r"""
 SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN regexp_replace(text, '(?i)\bof\b', '[A]', 'g')
   ELSE regexp_replace(regexp_replace(text, '(?i)\bof\b', '[A]', 'g'), '(?i)\bthe\b', '[B]', 'g') END AS text
-FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id WHERE lang = 'en'""")
+FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) l ON d.doc_id = l.doc_id""")
 def redact_scoped(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
+    docs = table(spark, d, "documents").select("doc_id", "text")
     rule = redaction.Rule("the", "[B]")
     own = table(spark, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("post_id"), F.array(F.struct(F.lit(redaction.java_pattern(rule)).alias("pattern"), F.lit(redaction.java_replacement(rule)).alias("replacement"))).alias("rules"))
     return redaction.redact_posts(docs, "text", [redaction.Rule("of", "[A]")], own, "doc_id")
 
 
 @query("search_all_terms", """
-WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS token FROM documents WHERE lang = 'en')
+WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS token FROM documents)
 SELECT doc_id FROM t WHERE token IN ('with', 'from') GROUP BY doc_id HAVING count(DISTINCT token) = 2""")
 def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
-    index = search.token_table(table(spark, d, "documents").filter("lang = 'en'"), "doc_id", "text")
+    index = search.token_table(table(spark, d, "documents"), "doc_id", "text")
     return search.search_index(index, "doc_id", ["With", "from"])
 
 
 @query("search_query", """
-WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS w, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ' ') || ' ' AS s FROM documents WHERE lang = 'en')
+WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS w, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ' ') || ' ' AS s FROM documents)
 SELECT doc_id FROM t WHERE contains(s, ' of the ') AND NOT list_contains(w, 'idiot') AND (list_contains(w, 'was') OR list_contains(w, 'from')) AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")
 def search_query(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("lang = 'en'")
+    docs = table(spark, d, "documents")
     return search.search(docs, "doc_id", "text", '"of the" -idiot was | from wi*', cap=None)
 
 
-@query("token_counts", "WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS token FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token")
+# the other engine's \w is ASCII: its words are spelled out here
+@query("token_counts", "WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
-    ascii_only = table(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))  # the other engine's word borders are ASCII
-    index = search.token_table(ascii_only, "doc_id", "text")
+    index = search.token_table(table(spark, d, "documents"), "doc_id", "text")
     return index.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 

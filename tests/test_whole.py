@@ -8,17 +8,23 @@ import duckdb
 from sparkloom import registry
 
 
+def made(spark, folder, name, tables):
+    """The rows of a query on given tables."""
+    for t, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/{t}.parquet")
+    return sorted(tuple(r) for r in registry.queries()[name](spark, str(folder)).collect())
+
+
 def both(spark, folder, name, tables):
     """The rows of a query by Spark and by its SQL, on given tables."""
     con = duckdb.connect()
-    for t, (rows, kind) in tables.items():
-        path = f"{folder}/{t}.parquet"
-        spark.createDataFrame(rows, kind).write.parquet(path)
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/*.parquet'")
-    df = registry.queries()[name](spark, str(folder))
+    got = made(spark, folder, name, tables)
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
     cursor = con.execute(registry.oracle_sql()[name])
     at = [d[0] for d in cursor.description]
-    return sorted(tuple(r) for r in df.collect()), sorted(tuple(r[at.index(c)] for c in df.columns) for r in cursor.fetchall())
+    columns = registry.queries()[name](spark, str(folder)).columns
+    return got, sorted(tuple(r[at.index(c)] for c in columns) for r in cursor.fetchall())
 
 
 def test_escape_whole_pages(spark, tmp_path):
@@ -62,3 +68,53 @@ def test_orphans_of_every_id(spark, tmp_path):
     tables = {"labels": ([(1, 1, 0), (7, 1, 0), (8, 0, 1), (14, 0, 1)], "doc_id long, quality int, toxic int"), "benchmark": ([(1, "a"), (14, "b")], "item_id long, text string")}
     got, sql = both(spark, tmp_path, "check_orphans", tables)
     assert got == sql == [(7,), (8,)]
+
+
+TEXTS = [
+    "Idiot of the Loser, with it from", "Ärger of Öl: idiot, IDIOT, éidiot idioté; Loserä loser", "ofé of the éthe thé THE x", "was of the Wié with from", "vous from withé", "sin with ñ from", "of the idiot was wing",
+    "été of the été from wiße", "1² naïve_x ÄRGER", "",
+]
+LANGS = ["en", "de", "fr", "es", None]
+DOCUMENTS = ([(i, x, LANGS[i // len(TEXTS)]) for i, x in enumerate(TEXTS * 5)], "doc_id long, text string, lang string")
+TOXIC = {1, 2, 13, 24}
+
+
+# the SQL of these has ASCII word borders, so plain Python is what they are compared with here
+def test_redaction_in_every_language(spark, tmp_path):
+    clean = lambda x: re.sub(r"(?i)\b(lo)(ser)\b", r"\2-\1", re.sub(r"(?i)\bidiot\b", "[X]", x))
+    assert made(spark, tmp_path, "redact_global", {"documents": DOCUMENTS}) == [(i, clean(x)) for i, x, _ in DOCUMENTS[0]]
+
+
+def test_scoped_redaction_in_every_language(spark, tmp_path):
+    labels = ([(i, 1, int(i in TOXIC)) for i in range(0, 40)], "doc_id long, quality int, toxic int")
+    first = {i: re.sub(r"(?i)\bof\b", "[A]", x) for i, x, _ in DOCUMENTS[0]}
+    want = [(i, re.sub(r"(?i)\bthe\b", "[B]", x) if i in TOXIC else x) for i, x in first.items()]
+    assert made(spark, tmp_path, "redact_scoped", {"documents": DOCUMENTS, "labels": labels}) == want
+
+
+def words(x):
+    return [w for w in re.split(r"\W+", x.lower().replace("²", " ")) if w]  # a raised 2 is no word for the JVM
+
+
+def test_search_in_every_language(spark, tmp_path):
+    want = [(i,) for i, x, _ in DOCUMENTS[0] if {"with", "from"} <= set(words(x))]
+    assert made(spark, tmp_path, "search_all_terms", {"documents": DOCUMENTS}) == want
+    held = lambda w: " of the " in f" {' '.join(w)} " and "idiot" not in w and bool({"was", "from"} & set(w)) and any(x.startswith("wi") for x in w)
+    found = sorted(tuple(r) for r in registry.queries()["search_query"](spark, str(tmp_path)).collect())
+    assert found == [(i,) for i, x, _ in DOCUMENTS[0] if held(words(x))]
+
+
+def test_token_counts_of_every_text(spark, tmp_path):
+    got, sql = both(spark, tmp_path, "token_counts", {"documents": DOCUMENTS})
+    count, docs = {}, {}
+    for i, x, _ in DOCUMENTS[0]:
+        for w in words(x):
+            count[w] = count.get(w, 0) + 1
+            docs.setdefault(w, set()).add(i)
+    assert got == sql == sorted((w, n, len(docs[w])) for w, n in count.items())
+
+
+def test_topic_text_in_every_language(spark, tmp_path):
+    got, sql = both(spark, tmp_path, "clean_topic_text", {"documents": DOCUMENTS})
+    head = "see https://x.example/{}/a_b  now\t @john_doe and #some_tag_here\n\n\n\n WWW.site.org "
+    assert got == sql == [(i, topic(head.format(i) + x)) for i, x, _ in DOCUMENTS[0]]

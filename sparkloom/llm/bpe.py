@@ -16,6 +16,8 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from operator import getitem
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,12 +28,15 @@ from sparkloom.llm.common import bounded_batches, kept_by, slices
 KEPT_WORDS, KEPT_PIECES = 120_000, 60_000
 KEPT_STEPS = 250_000
 KEPT_LENGTH = 64
+#: Tokens below a node of the trie up to which an open beginning there is told by those that fit.
+FEW = 16
 #: Bytes of a piece beyond which its tokens are emitted as they become certain.
 LONG = 1024
 _FLUSH = 1 << 16
-#: The characters with the Unicode property White_Space, and the pattern whose pieces never cross from one
-#: word into the next one but by the single space that begins it.
+#: The characters with the Unicode property White_Space, the first character beyond those whose letters never
+#: changed, and the pattern whose pieces never cross from one word into the next one but by the single space that begins it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN = "\u0250"
 WORDWISE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -40,36 +45,67 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class State(dict):
+    """A state of the transducer: the next states by byte, worked out when they are first asked for.
+
+    ``open`` has its open beginnings, ``token`` the token that ends here in the encoding of what was read, ``size`` that
+    token's bytes."""
+
+    __slots__ = ("machine", "open", "size", "token")
+
+    def __init__(self, machine: Transducer, beginnings: tuple[tuple[int, int], ...], token: int) -> None:
+        self.machine, self.open, self.token = machine, beginnings, token
+        self.size = machine.length[token] if token >= 0 else 0
+
+    def __missing__(self, byte: int) -> State:
+        found = self[byte] = self.machine.step(self, byte)
+        return found
+
+
 class Transducer:
-    """Pieces of bytes to token ids."""
+    """Pieces of bytes to token ids.
+
+    An open beginning is a node of the trie with what decides which of the tokens below it may end there: the token before the
+    beginning or, where at most ``few`` tokens are below, a bit for each that fits. Beginnings that none fits are dropped,
+    and those that differ only in tokens that no longer matter are one."""
 
-    def __init__(self, ranks: dict[bytes, int], kept_steps: int = KEPT_STEPS) -> None:
+    def __init__(self, ranks: dict[bytes, int], kept_steps: int = KEPT_STEPS, few: int = FEW) -> None:
         self.ranks, self.kept_steps = ranks, kept_steps
         self.children: dict[int, int] = {}
-        inner: set[int] = set()
-        at: dict[int, int] = {}
-        for token, rank in ranks.items():
+        token_at, self.depth, self.below, upto = [-1], [0], [0], [0]
+        # in the order of their bytes the tokens below a node stand together, its own one first
+        self.in_order = [ranks[token] for token in sorted(ranks)]
+        for place, token in enumerate(sorted(ranks)):
             node = 0
-            for byte in token:
-                inner.add(node)
-                node = self.children.setdefault(node << 8 | byte, len(self.children) + 1)
-            at[node] = rank
-        self.token_at = [at.get(node, -1) for node in range(len(self.children) + 1)]
-        self.inner = [node in inner for node in range(len(self.children) + 1)]
-        self.depth = [0] * (len(self.children) + 1)
-        for key, node in self.children.items():
-            self.depth[node] = self.depth[key >> 8] + 1
+            upto[0] = place + 1
+            for depth, byte in enumerate(token, 1):
+                below = self.children.get(node << 8 | byte)
+                if below is None:
+                    below = self.children[node << 8 | byte] = len(token_at)
+                    token_at.append(-1)
+                    self.depth.append(depth)
+                    self.below.append(place)
+                    upto.append(place)
+                node = below
+                upto[node] = place + 1
+            token_at[node] = ranks[token]
+        self.token_at = token_at
+        self.count = [e - s for s, e in zip(self.below, upto)]
+        self.small = [n <= few for n in self.count]
         self.text = {rank: token for token, rank in ranks.items()}
         self.length = {rank: len(token) for token, rank in ranks.items()}
         self.pairs: dict[int, bool] = {}
+        self.masks: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self._restart()
+        self.states: dict[tuple[tuple[int, int], ...], State] = {}
+        self.restart()
 
-    def _restart(self) -> None:
-        # a state: for each open beginning its node and the token before it (-1: none), the one that begins here last
-        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
-        self.numbers = {self.states[0]: 0}
-        self.steps: dict[int, int] = {}
+    def restart(self) -> None:
+        """Forgets the states met so far."""
+        for state in self.states.values():
+            state.clear()
+        self.states, self.met = {}, 0
+        self.root = self.states[((0, -1),)] = State(self, ((0, -1),), -1)
 
     def merged(self, piece: bytes) -> list[int]:
         """Tokens by repeatedly joining the leftmost pair of least rank: the definition, for checks."""
@@ -128,29 +164,48 @@ class Transducer:
             else:
                 return True
 
-    def _step(self, number: int, byte: int) -> int:
-        """The next state's number and the token that ends at this byte, in one integer."""
-        child, token_at, inner, pair = self.children.get, self.token_at, self.inner, self.pairs.get
+    def _mask(self, node: int, before: int) -> int:
+        """A bit for each token below ``node``, in order, that may stand after ``before``."""
+        key = before << 24 | node
+        mask = self.masks.get(key)
+        if mask is None:
+            if len(self.masks) >= self.kept_steps:
+                self.masks.clear()
+            at = self.below[node]
+            mask = self.masks[key] = sum(self._fits(before, self.in_order[at + i]) << i for i in range(self.count[node]))
+        return mask
+
+    def step(self, state: State, byte: int) -> State:
+        """The state after one more byte."""
+        child, token_at, small, count = self.children.get, self.token_at, self.small, self.count
         ahead, ends = [], -1
-        for node, before in self.states[number]:
-            node = child(node << 8 | byte)
+        for parent, told in state.open:
+            node = child(parent << 8 | byte)
             if node is None:
                 continue
-            if ends < 0 and (token := token_at[node]) >= 0:
-                fits = pair(before << 24 | token)
-                if fits or fits is None and self._fits(before, token):
-                    ends = token
-            if inner[node]:
-                ahead.append((node, before))
+            if small[node]:
+                if small[parent]:
+                    told = told >> (self.below[node] - self.below[parent]) & ((1 << count[node]) - 1)
+                else:
+                    told = self._mask(node, told)
+                if token_at[node] >= 0:
+                    if ends < 0 and told & 1:
+                        ends = token_at[node]
+                    told &= -2
+                if told:
+                    ahead.append((node, told))
+            else:
+                if ends < 0 and token_at[node] >= 0 and self._fits(told, token_at[node]):
+                    ends = token_at[node]
+                ahead.append((node, told))
         if ends < 0:
             raise ValueError("the ranks lack a single byte")
         ahead.append((0, ends))
-        new = tuple(ahead)
-        to = self.numbers.get(new)
-        if to is None:
-            to = self.numbers[new] = len(self.states)
-            self.states.append(new)
-        self.steps[number << 8 | byte] = found = to << 24 | ends
+        self.met += 1
+        key = tuple(ahead)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = State(self, key, ends)
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -158,56 +213,46 @@ class Transducer:
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.steps) >= self.kept_steps:
-            self._restart()
         if len(piece) > LONG:
             return [t for some in self.stream(piece) for t in some]
-        at, step, ends = 0, self.steps.get, []
-        for byte in piece:
-            found = step(at << 8 | byte)
-            if found is None:
-                found = self._step(at, byte)
-            ends.append(found & 0xFFFFFF)
-            at = found >> 24
-        return self._way(ends, len(ends), 0)
-
-    def _way(self, ends: list[int], place: int, back_to: int) -> list[int]:
-        """The tokens on the way back from ``place``, in order."""
-        length, out = self.length, []
-        while place > back_to:
-            token = ends[place - 1]
-            out.append(token)
-            place -= length[token]
-        out.reverse()
-        return out
+        if self.met >= self.kept_steps:
+            self.restart()
+        return _way([*accumulate(piece, getitem, initial=self.root)], len(piece))
 
     def stream(self, piece: bytes) -> Iterator[list[int]]:
         """The ids of one piece as they become certain; what is held back is shorter than twice the longest token and ``LONG``."""
-        at, ends, depth = 0, [], self.depth
+        if self.met >= self.kept_steps:
+            self.restart()
+        path, depth = [self.root], self.depth
         for byte in piece:
-            if len(self.steps) >= self.kept_steps:
-                here = self.states[at]
-                self._restart()
-                at = self.numbers.setdefault(here, len(self.states))
-                if at == len(self.states):
-                    self.states.append(here)
-            found = self.steps.get(at << 8 | byte)
-            if found is None:
-                found = self._step(at, byte)
-            ends.append(found & 0xFFFFFF)
-            at = found >> 24
-            if len(ends) >= LONG:
+            if self.met >= self.kept_steps:
+                here = path[-1]
+                self.restart()
+                path[-1] = self.states.setdefault(here.open, State(self, here.open, here.token))
+            path.append(path[-1][byte])
+            if len(path) > LONG:
                 # open beginnings lie as far back as their nodes are deep; walk the farthest back to a place that all share
-                open_at = {len(ends) - depth[node] for node, _ in self.states[at]}
+                open_at = {len(path) - 1 - depth[node] for node, _ in path[-1].open}
                 while len(open_at) > 1:
                     last = max(open_at)
                     open_at.remove(last)
-                    open_at.add(last - self.length[ends[last - 1]])
+                    open_at.add(last - path[last].size)
                 (sure,) = open_at
                 if sure > 0:
-                    yield self._way(ends, sure, 0)
-                    del ends[:sure]
-        yield self._way(ends, len(ends), 0)
+                    yield _way(path, sure)
+                    del path[:sure]
+        yield _way(path, len(path) - 1)
+
+
+def _way(path: list[State], place: int) -> list[int]:
+    """The tokens on the way back from ``place``, in order."""
+    out = []
+    while place > 0:
+        state = path[place]
+        out.append(state.token)
+        place -= state.size
+    out.reverse()
+    return out
 
 
 class _Kept(dict):
@@ -252,6 +297,9 @@ class _Words(_Kept):
         self.codec = codec
 
     def encoded(self, key: str) -> bytes:
+        # runs of letters are one piece; beyond LATIN, libraries differ in what they know as letters
+        if key.isalpha() and max(key) < LATIN:
+            return array("I", self.codec.pieces.machine.encode(b" " + key.encode())).tobytes()
         return self.codec.encode_pieces(" " + key)
 
 

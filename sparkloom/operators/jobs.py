@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.sources.sinks import log_run, publish
+from sparkloom.sources.sinks import log_run, publish_all
 
 
 @dataclass
@@ -26,16 +26,16 @@ class Job:
 
 
 def run(spark: SparkSession, jobs: list[Job], root: str, dry_run: bool = False) -> dict[str, DataFrame]:
-    """Runs the jobs in order; a failure publishes nothing of its job and stops the rest. Dry runs give the tables without writing them."""
+    """Runs the jobs in order. The tables of a job are published at once; a failure, while they are collected or written, publishes none of
+    them and stops the rest. Dry runs give the tables without writing them."""
     for job in jobs:
         job.check()
     done: dict[str, DataFrame] = {}
     for job in jobs:
         try:
             tables = job.collect()
-            if not dry_run:
-                for name, df in tables.items():
-                    publish(df, f"{root.rstrip('/')}/{name}")
+            if tables and not dry_run:
+                publish_all(spark, tables, root)
         except Exception as e:
             if not dry_run:
                 log_run(spark, f"{root.rstrip('/')}/runs", job.name, "", False, notes=str(e)[:1000])

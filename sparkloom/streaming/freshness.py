@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from sparkloom.operators.upsert import Policy, freshest, matched, new_state
 from sparkloom.sources.sinks import current, publish
@@ -26,11 +25,8 @@ def follow(spark: SparkSession, source: str, schema: str, root: str, checkpoint:
     empty = spark.createDataFrame([], schema)
 
     def merge(batch: DataFrame, _: int) -> None:
-        try:
-            state = current(spark, root)
-        except AnalysisException:
-            state = empty
-        publish(apply_snapshots(state, batch, key, time), root)
+        state = current(spark, root)
+        publish(apply_snapshots(empty if state is None else state, batch, key, time), root)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

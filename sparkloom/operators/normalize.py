@@ -130,15 +130,19 @@ PLATFORMS: dict[str, Callable[[Column], dict[str, Column]]] = {"telegram": teleg
 
 
 def normalized(raw: DataFrame, platform: str = "platform", body: str = "raw") -> DataFrame:
-    """``raw`` (platform, a VARIANT body, and any other columns) with the columns of ``POST`` instead of the body."""
+    """``raw`` (platform, a VARIANT body, and any other columns) with the columns of ``POST`` instead of the body, in one scan: a post
+    goes through the transform of its own platform alone."""
     others = [c for c in raw.columns if c not in (platform, body)]
-    found = None
+    r, own = F.col(body), "__post"
+    while own in raw.columns:
+        own = "_" + own
+    post = None
     for name, transform in PLATFORMS.items():
-        r = F.col(body)
         fields = {"url": F.coalesce(at(r, "url_corrected"), at(r, "url")), "collected_at": _scraped(r)} | transform(r)
-        one = raw.filter(F.col(platform) == name).select(*others, platform, *[fields.get(c, F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in POST])
-        found = one if found is None else found.unionByName(one)
-    return found
+        made = F.struct(*[fields.get(c, F.lit(None)).cast(_TYPES.get(c, "string")).alias(c) for c in POST])
+        post = F.when(F.col(platform) == name, made) if post is None else post.when(F.col(platform) == name, made)
+    known = raw.filter(F.col(platform).isin(*PLATFORMS))
+    return known.select(*others, platform, post.alias(own)).select(*others, platform, *[F.col(own)[c].alias(c) for c in POST])
 
 
 def dedupe_posts(posts: DataFrame, key: str, ordinal: str) -> tuple[DataFrame, DataFrame]:

@@ -69,10 +69,15 @@ def suffix_matches(labels: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def whole_word_matches(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """name, id, matches: names that occur as whole words (hyphens count as letters) in a text; ``matches`` other than 1 is an error. Both
-    tables are small vocabularies; names are quoted."""
+    """name, id, matches: names that occur as whole words (hyphens count as letters) in a text; ``matches`` other than 1 is an error.
+
+    Texts and names meet by equality on the first word of a name, which a text with the name has to hold; the pattern, with the name
+    quoted, then decides. A name without any word character matches nothing."""
+    words = lambda c: F.regexp_extract_all(F.lower(F.upper(c)), F.lit(r"(?U)[\w-]+"), F.lit(0))
     pattern = F.concat(F.lit(r"(?iuU)(?<![\w-])\Q"), F.col("name"), F.lit(r"\E(?![\w-])"))
-    hits = texts.join(F.broadcast(names), F.regexp_like(F.col("text"), pattern)).select("name", "id").distinct()
+    keyed = names.select("name", F.get(words(F.col("name")), 0).alias("key")).distinct()
+    held = texts.select("id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
+    hits = held.join(keyed, "key").filter(F.regexp_like("text", pattern)).select("name", "id").distinct()
     counts = hits.groupBy("name").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
     return names.join(counts, "name", "left").select("name", "id", F.coalesce("matches", F.lit(0)).alias("matches"))
 

@@ -61,7 +61,8 @@ def _hit(term: Term, flat: Column) -> Column:
 
 
 def search(docs: DataFrame, key: str, text: str, query: str, cap: int | None = CAP) -> DataFrame:
-    """The keys of documents for which all clauses hold, at most ``cap`` (the feature's own bound); a blank query finds nothing."""
+    """The keys of documents for which all clauses hold, of more than ``cap`` (the feature's own bound) the least; a blank query
+    finds nothing."""
     clauses = parse(query)
     if not clauses:
         return docs.select(key).limit(0)
@@ -72,8 +73,49 @@ def search(docs: DataFrame, key: str, text: str, query: str, cap: int | None = C
         for term in clause:
             any_of = any_of | _hit(term, flat)
         held = held & any_of
-    found = docs.filter(held).select(key)
-    return found.limit(cap) if cap else found
+    return _least(docs.filter(held).select(key), key, cap)
+
+
+def _least(found: DataFrame, key: str, cap: int | None) -> DataFrame:
+    return found.orderBy(key).limit(cap) if cap else found
+
+
+def search_by_index(index: DataFrame, key: str, query: str, cap: int | None = CAP) -> DataFrame:
+    """``search`` over a token table (key, token, pos): only the rows of the query's tokens are read. Words and prefixes are marks
+    combined by key; the words of a phrase meet by their key and the place where the phrase begins. A query of negative clauses
+    alone is answered from all keys of the index."""
+    clauses = parse(query)
+    if not clauses:
+        return index.select(key).limit(0)
+    terms = [t for clause in clauses for t in clause]
+
+    def mark(term: Term, n: int) -> Column:
+        """Whether a row holds the nth word of a term."""
+        last = term.prefix and n == len(term.words) - 1
+        return F.col("token").startswith(term.words[n]) if last else F.col("token") == term.words[n]
+
+    def any_of(conditions: list[Column]) -> Column:
+        found = F.lit(False)
+        for c in conditions:
+            found = found | c
+        return found
+
+    wanted = index.filter(any_of([mark(t, n) for t in terms for n in range(len(t.words))]))
+    single = [t for t in terms if len(t.words) == 1]
+    phrases = [t for t in terms if len(t.words) > 1]
+    name = {id(t): f"__t{i}" for i, t in enumerate(terms)}
+    marks = wanted.groupBy(key).agg(F.lit(True).alias("__seen"), *[F.max(mark(t, 0)).alias(name[id(t)]) for t in single])
+    for t in phrases:
+        # each word gives the place at which the phrase would begin; all words at one place are the phrase
+        words = F.array(*[F.when(mark(t, n), F.struct(F.lit(n).alias("n"), (F.col("pos") - n).alias("at"))) for n in range(len(t.words))])
+        places = wanted.filter(any_of([mark(t, n) for n in range(len(t.words))])).select(key, F.explode(F.filter(words, lambda w: w.isNotNull())).alias("w"))
+        whole = places.groupBy(key, "w.at").agg(F.countDistinct("w.n").alias("__n")).filter(F.col("__n") == len(t.words))
+        marks = marks.join(whole.select(key).distinct().withColumn(name[id(t)], F.lit(True)), key, "left")
+    if not any(all(not t.negative for t in clause) for clause in clauses):
+        marks = index.select(key).distinct().join(marks, key, "left")
+    for clause in clauses:
+        marks = marks.filter(any_of([~F.coalesce(name[id(t)], F.lit(False)) if t.negative else F.coalesce(name[id(t)], F.lit(False)) for t in clause]))
+    return _least(marks.select(key), key, cap)
 
 
 def search_index(index: DataFrame, key: str, words: list[str]) -> DataFrame:
@@ -83,8 +125,11 @@ def search_index(index: DataFrame, key: str, words: list[str]) -> DataFrame:
 
 
 def rebuild_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Writes the token table; what it holds is frozen until the next rebuild."""
-    token_table(docs, key, text).write.mode("overwrite").parquet(path)
+    """Writes the token table, in ranges of tokens, so that a search reads the few row groups that hold its own; what it holds is
+    frozen until the next rebuild."""
+    rows = token_table(docs, key, text).withColumn("apart", F.xxhash64(key))
+    # the last key splits a token that stands in many documents
+    rows.repartitionByRange("token", "apart").sortWithinPartitions("token", key).drop("apart").write.mode("overwrite").parquet(path)
 
 
 def search_path(spark, path: str, key: str, words: list[str]) -> tuple[DataFrame | None, bool]:

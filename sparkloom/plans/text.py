@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import scratch
 from sparkloom.functions import text as fx
 from sparkloom.operators import evidence, redaction, search
 from sparkloom.plans.tables import table
@@ -54,8 +55,9 @@ def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
 WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS w, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ' ') || ' ' AS s FROM documents)
 SELECT doc_id FROM t WHERE contains(s, ' of the ') AND NOT list_contains(w, 'idiot') AND (list_contains(w, 'was') OR list_contains(w, 'from')) AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")
 def search_query(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return search.search(docs, "doc_id", "text", '"of the" -idiot was | from wi*', cap=None)
+    path = scratch.new_path(spark, "index")
+    search.rebuild_index(table(spark, d, "documents"), "doc_id", "text", path)
+    return search.search_by_index(spark.read.parquet(path), "doc_id", '"of the" -idiot was | from wi*', cap=None)
 
 
 # the other engine's \w is ASCII: its words are spelled out here

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.scratch import written
+
 
 def prefixes(path: Column) -> Column:
     """All prefixes of a path, root first, itself last; none of an empty path."""
@@ -61,10 +63,10 @@ def preorder(nodes: DataFrame, parents: DataFrame, covered: DataFrame, levels: i
 def main_topic_tree(members: DataFrame, nodes: DataFrame, item: str, selected: list[str] | None = None) -> DataFrame:
     """The tree as shown: pre-order rows with has_children, expanded, visible, selected. A selection of a node that is not
     shown selects nothing; ancestors of the selection are expanded, and a node is visible below expanded ones."""
-    # a row a topic: small, and read four times below
-    nodes = nodes.persist()
-    covered = coverage(members, nodes, item).persist()
-    parents = condensed_parents(nodes, covered).persist()
+    # read several times below: written, so that nothing stays in the executors' memory
+    nodes = written(nodes, "nodes")
+    covered = written(coverage(members, nodes, item), "covered")
+    parents = written(condensed_parents(nodes, covered), "parents")
     rows = preorder(nodes, parents, covered)
     chosen = F.array(*[F.lit(x) for x in selected]) if selected else F.lit(None).cast("array<string>")
     valid = rows.select((F.col("path") == chosen).alias("hit")).agg(F.coalesce(F.max("hit"), F.lit(False)).alias("valid"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators import reviews, sync, upsert
 from sparkloom.operators.evidence import shards
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
+from sparkloom.sources import pages
 
 _OLD = "SELECT * FROM (SELECT user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events WHERE event_id % 3 <> 0) WHERE nth = 1"
 _NEW = "SELECT * FROM (SELECT user_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS nth FROM events WHERE event_id % 3 = 0) WHERE nth = 1"
@@ -196,7 +197,6 @@ def excluded_ids(spark: SparkSession, d: str) -> DataFrame:
     return sync.person_rows(raw, [3, 5, 8]).select("aw_id")
 
 
-@query("sparql_batches", "SELECT CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS batch, c_custkey FROM customer WHERE c_custkey <= 1000")
+@query("sparql_batches", "SELECT CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS batch, c_custkey FROM customer")
 def sparql_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "customer").filter("c_custkey <= 1000")
-    return rows.select(F.floor((F.row_number().over(Window.orderBy("c_custkey")) - 1) / 100).alias("batch"), "c_custkey")
+    return pages.batches(table(spark, d, "customer").select("c_custkey"), "c_custkey", 100)

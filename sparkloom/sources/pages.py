@@ -9,6 +9,8 @@ from urllib.request import urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, In, InputPartition, Not
 
+from sparkloom.scratch import written
+
 PAGE = 500
 
 
@@ -69,6 +71,22 @@ def register(spark) -> None:
     spark.dataSource.register(PagedSource)
 
 
+def batches(ids, key: str, size: int):
+    """batch, key: the distinct ids in order, ``size`` to a batch, numbered from 0. Ranges of ids are numbered each in its task, from the
+    number of ids in the ranges before it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ids.select(key).filter(F.col(key).isNotNull()).distinct().repartitionByRange(parts, key).withColumn("part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range: a bound of the plan, not of the data
+    starts = dealt.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
+    return dealt.withColumn("nth", nth).join(F.broadcast(starts), "part").select(F.floor((F.col("start") + F.col("nth")) / size).alias("batch"), key)
+
+
 def qid(uri):
     """The last part of an entity's address."""
     from pyspark.sql import functions as F

@@ -94,9 +94,16 @@ def test_alignment(spark):
 
 
 def test_structural_diff():
-    a = {"x": [1, {"k": 1, "l": 2}, 3], "y": "s", "z": 1}
+    a = {"x": [1, {"k": 1, "l": 2}, 3], "y": "s", "z": {"label": "gone", "n": 1}}
     b = {"x": [3, {"k": 1, "l": 5}, 1], "y": "t", "w": None}
-    assert list(structdiff.diff(a, b)) == ["+ w: null", "~ x[].l: 2 -> 5", '~ y: "s" -> "t"', "- z: 1"] and list(structdiff.diff(a, a)) == []
+    assert list(structdiff.diff(a, b)) == ["+ /w", "~ /x[]/l : 2 -> 5", '~ /y : "s" -> "t"', '- /z : "gone"'] and list(structdiff.diff(a, a)) == []
+
+
+def test_structural_diff_of_named_elements():
+    a = {"p": {"posts": [{"id": 1, "t": "a", "n": 1}, {"id": 2, "t": "b", "label": "B"}, "s"], "m": 1}}
+    b = {"p": {"posts": ["u", {"id": 1, "t": "a", "n": 9}, {"id": 3, "t": "c"}], "o": [2]}}
+    # 2 and 3 share no entry, so they are one gone and one new
+    assert list(structdiff.diff(a, b)) == ["- /p/m : 1", "+ /p/o : [2]", "~ /p/posts[id=1]/n : 1 -> 9", '- /p/posts[id=2] : "B"', '- /p/posts[] : "s"', '+ /p/posts[] : "u"', "+ /p/posts[id=3]"]
 
 
 def test_display_and_layout(spark):

@@ -4,4 +4,4 @@ The supplied tables stand in for the library's own: orders for evidence, lineite
 customer and supplier for actors, nation and region for places, events for snapshots, documents for posts, labels for reviews.
 """
 
-from sparkloom.plans import browse, merge, pages, people, posts, text, topics, values  # noqa: F401
+from sparkloom.plans import browse, files, merge, pages, people, posts, text, topics, values  # noqa: F401

@@ -8,12 +8,20 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _lines(path: str) -> list[str]:
+    """The lines of a file on the driver's disk, or anywhere Spark reads; an absent file has none."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return Path(path).read_text(encoding="utf-8").splitlines(keepends=True) if Path(path).exists() else []
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else f"file://{Path(path).resolve()}")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return []
+    return spark.read.text(place.toString(), wholetext=True).first()["value"].splitlines(keepends=True)
+
+
 def rows(path: str, required: tuple[str, ...] = ()) -> list[dict[str, str]]:
     """The rows below the header, without lines whose first sign is #, and without rows that lack a required value; an absent file has none."""
-    if not Path(path).exists():
-        return []
-    with open(path, encoding="utf-8", newline="") as f:
-        lines = [line for line in f if not line.lstrip().startswith("#")]
+    lines = [line for line in _lines(path) if not line.lstrip().startswith("#")]
     return [r for r in csv.DictReader(lines) if all((r.get(c) or "").strip() for c in required)]
 
 

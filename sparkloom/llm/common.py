@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: staged tables, checked broadcasts, and Arrow batches in bounded slices."""
+"""What the operators of this subpackage share: staged tables, rows taken out of them, and Arrow batches in bounded slices."""
 
 from __future__ import annotations
 
@@ -8,24 +8,30 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker takes from a batch at a time.
 SLICE_BYTES = 4 << 20
-#: Rows of a key list that may be broadcast (8 bytes a row and some overhead); beyond it a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
+#: Low bits of ``monotonically_increasing_id`` that count inside a partition.
+_PART_BITS = 33
 _own: dict[str, str] = {}
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset (tests), an own one."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, an own one on a local master, and an
+    error on any other, whose executors would each write to a disk of their own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
@@ -35,30 +41,84 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark)}/sparkloom-{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost one stage."""
+def stage(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost one stage. The path is
+    added to ``held``, for ``release``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(paths: list[str]) -> None:
+    """Removes staged tables that no later plan reads."""
+    while paths:
+        path = paths.pop()
+        spark = _made.pop(path)
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for path in list(_made):
         with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+            release([path])
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores before it until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a shared path and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def without(numbered: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """``numbered`` without the rows whose number, in column ``row``, is among those of ``gone`` (row), and without that column.
+
+    The numbers are those of ``monotonically_increasing_id``, which hold the partition that gave them. Those of ``gone`` are
+    written to a folder for each such partition, and a task that meets rows of a partition reads its folder: no text is
+    shuffled and nothing is broadcast, however many rows go."""
+    spark, at = numbered.sparkSession, numbered.columns.index(row)
+    path = shared_path(spark, "gone")
+    gone.select("row", F.shiftright("row", _PART_BITS).alias("part")).repartition("part").write.partitionBy("part").parquet(path)
+
+    def read(part: int) -> np.ndarray:
+        system, place = file_system(f"{path}/part={part}")
+        files = [f.path for f in system.get_file_info(fs.FileSelector(place, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+        held = [np.empty(0, np.int64)]
+        for name in files:
+            with system.open_input_file(name) as f:
+                held.append(pq.read_table(f, columns=["row"]).column("row").to_numpy())
+        return np.sort(np.concatenate(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = -1, np.empty(0, np.int64)
+        for batch in batches:
+            number = batch.column(at).to_numpy()
+            stays = np.ones(len(number), bool)
+            for own in np.unique(number >> _PART_BITS).tolist():
+                if own != part:
+                    part, held = own, read(own)
+                if len(held):
+                    stays &= held[np.minimum(np.searchsorted(held, number), len(held) - 1)] != number
+            left = batch if stays.all() else batch.filter(pa.array(stays))
+            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(left.columns) if i != at], schema=left.schema.remove(at))
+
+    bounded_batches(spark)
+    return numbered.mapInArrow(run, numbered.drop(row).schema)
 
 
 def bounded_batches(spark: SparkSession, most: int = 2 * SLICE_BYTES) -> None:
@@ -70,7 +130,7 @@ def bounded_batches(spark: SparkSession, most: int = 2 * SLICE_BYTES) -> None:
 kept_by: dict[str, Callable[[], None]] = {}
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: int | str, most: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` (string or binary) holds about ``most`` bytes in each, one row at least. What other owners
     keep in this worker is dropped first, so that the stages of a pipeline do not pile up memory."""
     for other in [o for o in kept_by if o != owner]:

@@ -10,28 +10,32 @@ Two bounds pass over passages that cannot give a result: one with fewer item tri
 demanding item needs, and one whose terms' largest possible contributions stay below the threshold. All others run
 block-max WAND, which returns every unit above the threshold.
 
-The index is held by each task. It is built from at most ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes at a time; a larger benchmark is
-searched in several passes.
-
-Defined cases: null or wordless texts match nothing; items repeated under several ids are each reported; an item in several places of a
-document is reported once, with its best passage; repeated document rows are each reported; an item of fewer than three words
-has itself as its only n-gram; words are runs of letters and digits, lower-cased in ASCII.
+The index is kept by each worker. It is built from about ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes at a time; a larger
+benchmark is searched in several passes. Document frequencies and the mean length are those of all items in every pass, and all
+that decides about an item is its own, so the result is the same for any number of passes.
+
+Defined cases: null or wordless texts match nothing; null item texts are left out; items repeated under several ids are each
+reported; an item in several places of a document is reported once, with its best passage; repeated document rows are each
+reported; an item of fewer than three words has itself as its only n-gram; words are runs of letters and digits, lower-cased in
+ASCII; very long texts are read whole, in passages; empty tables give no leaks; other columns are ignored by ``leaks`` and returned
+as they are, whatever their names, by ``cleaned``.
 """
 
 from __future__ import annotations
 
-
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, slices, utf8
+from sparkloom.llm.common import bounded_batches, kept_by, slices, stage, utf8
 from sparkloom.llm.shingles import document_words, lowered, mix, word_hashes
 
 K1, B = 1.2, 0.75
@@ -41,7 +45,7 @@ QUESTION, ANSWER, TOGETHER = 0.5, 0.5, 0.7
 NGRAM = 3
 MOST_NEEDED = 8
 BLOCK = 16
-INDEX_ITEMS, INDEX_BYTES = 20_000, 64 << 20
+INDEX_ITEMS, INDEX_BYTES = 20_000, 8 << 20
 #: Bytes that end a word: all of ASCII but letters and digits.
 _BREAK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _SENTENCE = re.compile(r"[.!?。！？](?=\s|$)\s*")
@@ -77,35 +81,55 @@ def grams(words: np.ndarray) -> set[int]:
     return set(gram_hashes(words).tolist())
 
 
+def units_of(text: str) -> list[np.ndarray]:
+    """An item's words in its units."""
+    words = np.concatenate(question_and_answer(text))
+    return [part for part in np.array_split(words, max(1, -(-len(words) // UNIT))) if len(part)]
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Over the units of all items: how many there are, their words, and in how many units each term stands."""
+
+    units: int
+    words: int
+    frequency: dict[int, int]
+
+
+def statistics_of(texts: list[str]) -> Statistics:
+    units = [u for text in texts for u in units_of(text)]
+    return Statistics(len(units), sum(map(len, units)), Counter(w for u in units for w in set(u.tolist())))
+
+
 class Index:
-    """Postings with block maxima over the units of some items."""
+    """Postings with block maxima over the units of some items, weighted by the statistics of all."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None) -> None:
         self.ids, self.units, self.questions, self.answers = [], [], [], []
         unit_words: list[np.ndarray] = []
         for n, (item_id, text) in enumerate(items):
             question, answer = question_and_answer(text)
-            words = np.concatenate([question, answer])
             self.ids.append(item_id)
             self.questions.append(grams(question))
             self.answers.append(grams(answer))
-            parts = max(1, -(-len(words) // UNIT))
-            for part in np.array_split(words, parts):
-                if len(part):
-                    self.units.append(n)
-                    unit_words.append(part)
-        #: the least number of its trigrams that any item's verification needs, with a margin for items over several passages
-        least = (min(math.ceil(QUESTION * len(q)) + math.ceil(ANSWER * len(a)), math.ceil(TOGETHER * (len(q) + len(a)))) for q, a in zip(self.questions, self.answers))
-        self.needed = max(1, min(least, default=1))
-        self.needed = min(self.needed, MOST_NEEDED)
+            for part in units_of(text):
+                self.units.append(n)
+                unit_words.append(part)
+        #: the least number of its trigrams that a passage has to hold for an item to be looked for there: what its
+        #: verification needs, with a margin for items over several passages
+        self.needs = [
+            max(1, min(MOST_NEEDED, math.ceil(QUESTION * len(q)) + math.ceil(ANSWER * len(a)), math.ceil(TOGETHER * (len(q) + len(a)))))
+            for q, a in zip(self.questions, self.answers)
+        ]
+        self.needed = min(self.needs, default=1)
+        #: words before and after a passage that an item found there may reach to
+        self.reach = [len(q) + len(a) + 2 * NGRAM for q, a in zip(self.questions, self.answers)]
         self.grams = np.array(sorted(set().union(*self.questions, *self.answers)), np.uint64)
         self.gram_sieve = np.zeros(1 << 22, bool)
         self.gram_sieve[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.longest = max((len(q) + len(a) + 2 * NGRAM for q, a in zip(self.questions, self.answers)), default=0)
-        frequency = Counter(w for words in unit_words for w in set(words.tolist()))
-        mean = sum(map(len, unit_words)) / max(1, len(unit_words))
-        total = len(unit_words)
-        self.terms = np.array(sorted(frequency), np.uint64)
+        whole = whole or statistics_of([text for _, text in items])
+        frequency, total, mean = whole.frequency, whole.units, whole.words / max(1, whole.units)
+        self.terms = np.array(sorted(set().union(*(u.tolist() for u in unit_words))), np.uint64)
         number = {w: i for i, w in enumerate(self.terms.tolist())}
         lists: list[list[tuple[int, float]]] = [[] for _ in number]
         for unit, words in enumerate(unit_words):
@@ -213,8 +237,11 @@ class Index:
                 item = self.units[unit]
                 if item in best and best[item][0] >= score:
                     continue
-                around = grams(words[max(0, s - self.longest) : e + self.longest])
-                question, answer = self.questions[item], self.answers[item]
+                question, answer, reach = self.questions[item], self.answers[item], self.reach[item]
+                here = grams(words[s:e])
+                if len(question & here) + len(answer & here) < self.needs[item]:
+                    continue
+                around = grams(words[max(0, s - reach) : e + reach])
                 q, a = len(question & around), len(answer & around)
                 share_q, share_a = q / max(1, len(question)), a / max(1, len(answer))
                 both = (q + a) / max(1, len(question) + len(answer))
@@ -226,33 +253,102 @@ class Index:
 _FOUND = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
-    """doc_id, item_id, score, question_share, answer_share, first_word for each item found in each row of ``docs``."""
+def _passes(benchmark: DataFrame, index_items: int) -> list[tuple[list[tuple[int, str]], Statistics]]:
+    """The items of each pass, a bounded number of them, with the statistics of all items for their terms."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     count, most = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-count // index_items), -(-most // INDEX_BYTES))
-    bounded_batches(docs.sparkSession)
-    found = None
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the term 0 is no word's: it counts the units in ``n`` and their words in ``words``
+        for batch in slices(batches, "text"):
+            held = statistics_of(batch.column("text").to_pylist())
+            found = np.array([0, *held.frequency], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array([held.units, *held.frequency.values()], pa.int64()), pa.array([held.words] + [0] * len(held.frequency), pa.int64())],
+                names=["term", "n", "words"],
+            )
+
+    bounded_batches(benchmark.sparkSession)
+    counted = items.mapInArrow(terms, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    counted = stage(counted, "terms")
+    units, words = counted.filter("term = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    out = []
     for i in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        one = _searched(docs, [tuple(r) for r in part.orderBy("item_id", "text").collect()])
+        # bounded by INDEX_BYTES: the terms of the items of one pass
+        own = part.mapInArrow(terms, "term long, n long, words long").select("term").distinct()
+        table = counted.filter("term <> 0").join(own, "term", "left_semi").select("term", "n").toArrow()
+        frequency = dict(zip(table.column("term").to_numpy().view(np.uint64).tolist(), table.column("n").to_pylist()))
+        out.append(([tuple(r) for r in part.orderBy("item_id", "text").collect()], Statistics(units, words, frequency)))
+    return out
+
+
+#: The index that a worker used last, by the name of its pass.
+_indexes: dict[str, Index] = {}
+
+
+def _index_for(name: str, items: list[tuple[int, str]], whole: Statistics) -> Index:
+    kept_by["decontaminate"] = _indexes.clear
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = Index(items, whole)
+    return _indexes[name]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
+    """doc_id, item_id, score, question_share, answer_share, first_word for each item found in each row of ``docs``."""
+    found = None
+    for items, whole in _passes(benchmark, index_items):
+        one = _searched(docs, items, whole)
         found = one if found is None else found.unionByName(one)
     return found
 
 
-def _searched(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def cleaned(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no item of ``benchmark``: each row is judged where it is read. A benchmark of
+    several passes has what each of them leaves written between them."""
+    passes = _passes(benchmark, index_items)
+    for i, (items, whole) in enumerate(passes):
+        docs = _filtered(docs if i == 0 else stage(docs, "cleaned"), items, whole)
+    return docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
-        for batch in slices(batches, "text"):
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for first, last, words, bounds in document_words(utf8(batch.column("text")), _BREAK):
+
+def _found_in(batches: Iterator[pa.RecordBatch], at: int | str, index: Index) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[int, dict]]]]:
+    """Each slice of the batches with the items found in its rows: (row, {item: ...})."""
+    for batch in slices(batches, at, owner="decontaminate"):
+
+        def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple[int, dict]]:
+            for first, last, words, bounds in document_words(utf8(batch.column(at)), _BREAK):
                 for i in range(last - first):
-                    for item, (score, q, a, at) in sorted(index.search(words[bounds[i] : bounds[i + 1]]).items()):
-                        rows.append((ids[first + i], index.ids[item], score, q, a, at))
+                    yield first + i, index.search(words[bounds[i] : bounds[i + 1]])
+
+        yield batch, rows()
+
+
+def _searched(docs: DataFrame, items: list[tuple[int, str]], whole: Statistics) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast((items, whole)), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index_for(name, *shared.value)
+        for batch, found in _found_in(batches, "text", index):
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[i], index.ids[item], *told) for i, items_ in found for item, told in sorted(items_.items())]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "score", "question_share", "answer_share", "first_word"])
+                names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_word"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _FOUND)
+
+
+def _filtered(docs: DataFrame, items: list[tuple[int, str]], whole: Statistics) -> DataFrame:
+    shared, name, at = docs.sparkSession.sparkContext.broadcast((items, whole)), uuid.uuid4().hex, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _found_in(batches, at, _index_for(name, *shared.value)):
+            yield batch.filter(pa.array([not items_ for _, items_ in found], pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -10,15 +10,20 @@ How it stays linear in the size of a group:
   of each set, whose Hamming distance never exceeds the sets' true difference. Pairs that the bound cannot exclude,
   all of them, are confirmed like the others. No candidate is capped or dropped.
 
+Joins by bucket are sort-merge joins of two staged tables, so that adaptive execution can split a bucket of many members.
+
 Defined cases: null or blank text has an empty set, links with nothing and is its own component; equal rows and equal
-sets are linked (similarity 1); a document of fewer than five words has one shingle, the whole sequence; a null
-``doc_id`` takes part in linking but is never a component's id, and is never kept unless its whole component has none.
+sets are linked (similarity 1); a document of fewer than five words has one shingle, the whole sequence; very long texts are
+hashed in blocks; a null ``doc_id`` takes part in linking but is never a component's id, and is never kept unless its whole
+component has none; an empty table gives no rows; columns other than doc_id and text are ignored by ``near_duplicates`` and
+returned as they are, whatever their names, by ``deduplicated``.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.circulant import BANDS, ROWS, Circulant
-from sparkloom.llm.common import bounded_batches, slices, stage, utf8
+from sparkloom.llm.common import bounded_batches, free_name, release, slices, stage, utf8, without
 from sparkloom.llm.shingles import mix, shingle_sets
 
 PERCENT = 85
@@ -34,7 +39,7 @@ BITS = 1024
 BLOCK = 1024
 #: Bits of the filter that spares the second pass most documents; fixed, whatever the input.
 FILTER_BITS = 1 << 24
-_SIGNED = "doc_id long, n_shingles long, node binary, origin long, bitmap binary, buckets array<long>"
+_SIGNED = "doc_id long, row long, n_shingles long, node binary, origin long, bitmap binary, buckets array<long>"
 
 
 def _text_key() -> Column:
@@ -51,8 +56,9 @@ def _bitmap(shingles: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null if empty), origin (key of the text), bitmap, buckets."""
+def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, row: Column | None = None) -> DataFrame:
+    """doc_id, row (null, if no column of row numbers is given), n_shingles, node (digest of the set; null if empty), origin
+    (key of the text), bitmap, buckets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Circulant(rows, bands)
@@ -66,12 +72,16 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFra
                 bitmap.append(_bitmap(found) if some else None)
                 buckets.append(maker.band_keys(found) ^ salt if some else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(node, pa.binary()), batch.column("origin"), pa.array(bitmap, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "node", "origin", "bitmap", "buckets"],
+                [
+                    batch.column("doc_id"), batch.column("row"), pa.array(count, pa.int64()), pa.array(node, pa.binary()), batch.column("origin"),
+                    pa.array(bitmap, pa.binary()), pa.array(buckets, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "row", "n_shingles", "node", "origin", "bitmap", "buckets"],
             )
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text", _text_key().alias("origin")).mapInArrow(sign, _SIGNED)
+    row = F.lit(None) if row is None else row
+    return docs.select(F.col("doc_id").cast("long"), row.cast("long").alias("row"), "text", _text_key().alias("origin")).mapInArrow(sign, _SIGNED)
 
 
 def _origin_filter(spark: SparkSession, origins: DataFrame, bits: int = FILTER_BITS):
@@ -110,32 +120,37 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    both = pairs.join(left, "a").join(right, "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, component (its smallest node) for the ends of ``links`` (a, b): smallest labels spread along links and are
-    then followed one step further, until nothing changes; each round is a staged table."""
-    edges = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{name}-0")
-    for i in range(1, 200):
-        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+    then followed one step further, until nothing changes; each round is a staged table. Labels only ever fall, so it ends."""
+    held: list[str] = []
+    edges = stage(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges", held)
+    labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{name}-0", held)
+    for i in numbers(1):
+        before = held[1:]
+        near = edges.join(labels.hint("merge"), edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = moved.join(ahead, "component").select("node", "old", F.least("component", "further").alias("component"))
-        moved = stage(moved, f"{name}-{i}")
+        moved = moved.join(ahead.hint("merge"), "component").select("node", "old", F.least("component", "further").alias("component"))
+        moved = stage(moved, f"{name}-{i}", held)
+        del held[1:-1]
+        release(before)
         labels = moved.select("node", "component")
         if moved.filter("old <> component").isEmpty():
+            release(held[:1])
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _unsettled(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, block: int) -> DataFrame:
     """The pairs (a, b) of a bucket in different components that the bitmaps' bound leaves possible."""
     held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high")
-    held = held.drop("members").join(mixed.select("bucket", "members"), "bucket").join(nodes.select("node", "n", "bitmap"), "node")
+    mixed = stage(mixed.select("bucket", "members"), "mixed")
+    held = held.drop("members").join(mixed.hint("merge"), "bucket").join(nodes.select("node", "n", "bitmap"), "node")
     blocks = F.ceil(F.col("members") / block)
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
@@ -191,36 +206,57 @@ def _unsettled(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     return dealt.mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
-
-    A link of similarity s becomes a candidate with probability ``1 - (1 - s ** rows) ** bands``; with 5 and 26 that is
-    all but 3 in 10 million at 0.85.
-    """
-    signed = stage(signatures(docs, rows, bands), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets"))
+def grouped(docs: DataFrame, percent: int, rows: int, bands: int, block: int, row: Column | None = None) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, first of each row of ``docs``; ``first``, which needs row numbers, is true for one
+    row of each component, that of the smallest doc_id (nulls last), then row."""
+    held: list[str] = []
+    signed = stage(signatures(docs, rows, bands, row), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets"))
     nodes = stage(nodes, "nodes")
     every = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = stage(every.join(shared, "bucket"), "members")
+    shared = stage(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "shared", held)
+    members = stage(every.join(shared.hint("merge"), "bucket"), "members", held)
     score = members.groupBy("node").agg(F.sum("members").alias("score"))
-    ranked = stage(members.join(score, "node").select("bucket", "node", "score"), "ranked")
+    ranked = stage(members.join(score, "node").select("bucket", "node", "score"), "ranked", held)
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
-    spokes = ranked.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = stage(hubs, "hubs", held)
+    spokes = ranked.join(hubs.hint("merge"), "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = nodes.join(score.select("node"), "node", "left_semi").select("node", "origin")
-    sets = stage(_sets(docs, wanted), "sets")
-    first = stage(_confirmed(spokes, sets, percent), "links")
-    labels = components(first, "first")
-    rest = stage(_unsettled(members, nodes, labels, percent, block), "unsettled")
-    more = stage(_confirmed(rest, sets, percent), "links-rest")
+    sets = stage(_sets(docs, wanted), "sets", held)
+    links = stage(_confirmed(spokes, sets, percent), "links", held)
+    labels = components(links, "first")
+    rest = stage(_unsettled(members, nodes, labels, percent, block), "unsettled", held)
+    more = stage(_confirmed(rest, sets, percent), "links-rest", held)
     if not more.isEmpty():
-        labels = components(first.union(more), "all")
+        labels = components(links.union(more), "all")
+    release(held)
     labels = labels.join(nodes.select("node", "least"), "node")
     lowest = labels.groupBy("component").agg(F.min("least").alias("lowest"))
     known = nodes.select("node", "least").join(labels.join(lowest, "component").select("node", "lowest"), "node", "left")
-    found = signed.select("doc_id", "n_shingles", "node").join(known.select("node", F.coalesce("lowest", "least").alias("component_id")), "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    found = signed.select("doc_id", "row", "n_shingles", "node").join(known.select("node", F.coalesce("lowest", "least").alias("lowest")), "node", "left")
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("lowest.doc_id"))
+    return found.select("doc_id", "row", "n_shingles", component.alias("component_id"), (alone | (F.col("lowest") == place)).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text; other columns are ignored).
+
+    A link of similarity s becomes a candidate with probability ``1 - (1 - s ** rows) ** bands``; with 5 and 26 that is
+    all but 3 in 10 million at 0.85 and all but 3 in 100,000 at 0.8.
+    """
+    found = grouped(docs, percent, rows, bands, block)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+    """One row of each component of ``docs``, all columns: that of the smallest doc_id (nulls last), of repeated rows the
+    first. Rows are told by a number given once, in a staged table, so repeated and null ids part nothing and join nothing."""
+    row = free_name(docs, "row_number")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = grouped(numbered, percent, rows, bands, block, F.col(row)).filter("NOT first").select("row")
+    return without(numbered, row, gone)
 
 
 ORACLE = f"""

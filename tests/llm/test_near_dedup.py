@@ -75,3 +75,20 @@ def test_long_text(spark):
     rows = [(1, text), (2, text + " end"), (3, "x")]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (59_996, 1), 2: (59_997, 1), 3: (1, 3)}
+
+
+def test_rows_are_taken_out_by_number(spark):
+    from sparkloom.llm.common import free_name, without
+
+    docs = spark.range(0, 1000, 1, 7).selectExpr("id AS doc_id", "string(id) AS text", "id AS row")
+    name = free_name(docs, "row")
+    assert name == "_row"
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm.common import stage
+
+    numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    gone = numbered.filter("doc_id % 3 = 0").select(F.col(name).alias("row"))
+    left = without(numbered, name, gone)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [i for i in range(1000) if i % 3]
+    assert without(numbered, name, gone.limit(0)).count() == 1000

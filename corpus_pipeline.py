@@ -1,12 +1,16 @@
-"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, tokens; in this order, over all documents."""
+"""The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, secrets, tokens; in this order, over all documents.
+
+Stages judge rows, not ids. Defined cases: rows of a null or repeated doc_id are documents of their own; of repeated rows one
+stays after near-duplicates; null and empty texts pass every stage; very long texts are read whole; empty tables give
+empty tables; further columns, whatever their names, are returned as they are by all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, decontaminate, near_dedup, secrets, toxicity
-from sparkloom.llm.common import small, stage
+from sparkloom.llm.common import stage
 
 #: Least similarity, in percent, of near-duplicates here; op3_near_dedup has a tighter one of its own.
 LINKED = 80
@@ -18,17 +22,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity of word shingles LINKED % or more), that with the smallest doc_id."""
-    found = near_dedup.near_duplicates(docs, percent=LINKED).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = small(stage(found, "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each group of near-duplicates (similarity of word shingles LINKED % or more): that of the smallest doc_id."""
+    return near_dedup.deduplicated(docs, percent=LINKED)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = small(stage(found.select(F.col("doc_id").alias("__gone")).distinct(), "leaks"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

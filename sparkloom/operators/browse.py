@@ -71,6 +71,16 @@ def pinned_first(rows: DataFrame, label: str, pinned: str = "Bund") -> DataFrame
     return rows.orderBy(F.col(label) != pinned, label)
 
 
+def deferred(rows: DataFrame, heavy: tuple[str, ...]) -> DataFrame:
+    """``rows`` without heavy columns (geometries), so that no scan below reads them; absent ones are no error."""
+    return rows.drop(*heavy)
+
+
+def recalled(rows: DataFrame, key: str, source: DataFrame, heavy: tuple[str, ...]) -> DataFrame:
+    """The heavy columns of ``source`` again, for the rows that are left."""
+    return rows.join(source.select(key, *heavy), key, "left")
+
+
 def facet(table: DataFrame, filters: dict[str, object], query: str = "", columns: tuple[str, ...] = ()) -> DataFrame:
     """Equality facets and a contains-search, without regard to case, over some columns."""
     for name, value in filters.items():
@@ -150,13 +160,15 @@ def circle_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 @dataclass(frozen=True)
 class Tables:
     """What a browse request reads. ``evidence`` (id, posted_at, platform, text, x, y, fit_at), ``originators`` (id, actor), ``actors`` (actor,
-    name, verband), ``positions`` (actor, role, level), ``mentions`` (id, path)."""
+    name, verband), ``positions`` (actor, role, level), ``mentions`` (id, path); ``tokens`` (id, token, pos), the search index of the
+    evidence's texts: without it a search reads every text."""
 
     evidence: DataFrame
     originators: DataFrame
     actors: DataFrame
     positions: DataFrame
     mentions: DataFrame
+    tokens: DataFrame | None = None
 
 
 class TopicCloud:
@@ -166,7 +178,7 @@ class TopicCloud:
         self.tables, self.params, self.chapter = tables, params, chapter
 
     def filtered(self) -> DataFrame:
-        from sparkloom.operators.search import search
+        from sparkloom.operators.search import search, search_by_index
         from sparkloom.operators.tree import prefixes
 
         t, p = self.tables, {k: (v or "").strip() for k, v in self.params.items()}
@@ -188,7 +200,8 @@ class TopicCloud:
             below = t.mentions.select("id", F.explode(prefixes(F.col("path"))).alias("node"))
             rows = having(rows, "id", below, "id", F.col("node") == F.array(*[F.lit(x) for x in self.chapter]))
         if p.get("q"):
-            rows = having(rows, "id", search(t.evidence, "id", "text", p["q"]), "id")
+            found = search(t.evidence, "id", "text", p["q"]) if t.tokens is None else search_by_index(t.tokens, "id", p["q"])
+            rows = having(rows, "id", found, "id")
         return rows
 
     def run(self) -> dict[str, DataFrame]:

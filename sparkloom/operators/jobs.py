@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.sources.sinks import log_run, publish_all
+from sparkloom.operators.triggers import Triggers
+from sparkloom.sources.sinks import current, log_run, publish_all
 
 
 @dataclass
@@ -25,9 +26,9 @@ class Job:
                 raise ValueError(f"{self.name}: {message}")
 
 
-def run(spark: SparkSession, jobs: list[Job], root: str, dry_run: bool = False) -> dict[str, DataFrame]:
+def run(spark: SparkSession, jobs: list[Job], root: str, dry_run: bool = False, triggers: Triggers | None = None) -> dict[str, DataFrame]:
     """Runs the jobs in order. The tables of a job are published at once; a failure, while they are collected or written, publishes none of
-    them and stops the rest. Dry runs give the tables without writing them."""
+    them and stops the rest. ``triggers`` are told what each publication changed. Dry runs give the tables without writing them."""
     for job in jobs:
         job.check()
     done: dict[str, DataFrame] = {}
@@ -35,7 +36,10 @@ def run(spark: SparkSession, jobs: list[Job], root: str, dry_run: bool = False)
         try:
             tables = job.collect()
             if tables and not dry_run:
+                before = {n: current(spark, root, n) for n in tables}
                 publish_all(spark, tables, root)
+                if triggers is not None:
+                    triggers.fire(before, {n: current(spark, root, n) for n in tables})
         except Exception as e:
             if not dry_run:
                 log_run(spark, f"{root.rstrip('/')}/runs", job.name, "", False, notes=str(e)[:1000])

@@ -80,6 +80,20 @@ def main_topic_tree(members: DataFrame, nodes: DataFrame, item: str, selected: l
     )
 
 
+def toggled(rows: DataFrame, chosen: list[str]) -> DataFrame:
+    """``rows`` (path, parent, expanded, visible, any others) after a click on the node at ``chosen``: an expanded one is collapsed,
+    which hides and collapses all below it; another one is expanded, which shows its children alone."""
+    node = F.array(*[F.lit(x) for x in chosen])
+    state = rows.select((F.when(F.col("path") == node, F.col("expanded"))).alias("open")).agg(F.max("open").alias("__open"))
+    rows = rows.crossJoin(F.broadcast(state))  # one row
+    itself, below = F.col("path") == node, (F.size("path") > len(chosen)) & (F.slice("path", 1, len(chosen)) == node)
+    closes, opens = F.coalesce("__open", F.lit(False)), ~F.coalesce("__open", F.lit(True))
+    child = F.coalesce(F.col("parent") == node, F.lit(False))
+    expanded = F.when(itself & F.col("__open").isNotNull(), ~F.col("__open")).when(closes & below, False).otherwise(F.col("expanded"))
+    visible = F.when(closes & below, False).when(opens & child, True).otherwise(F.col("visible"))
+    return rows.withColumns({"expanded": expanded, "visible": visible}).drop("__open")
+
+
 def subtree_members(members: DataFrame, selected: Column, item: str, path: str = "path") -> DataFrame:
     """The distinct items at a node or below it."""
     return members.filter(F.slice(F.col(path), 1, F.size(selected)) == selected).select(item).distinct()

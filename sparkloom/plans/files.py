@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import scratch
-from sparkloom.operators import align, browse, jobs, structdiff
+from sparkloom.operators import align, browse, jobs, structdiff, triggers
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 from sparkloom.sources import dumps, pages, rules, sheets, sinks
@@ -242,6 +242,32 @@ def dry_run(spark: SparkSession, d: str) -> DataFrame:
     return planned["nations"].select("n_nationkey", "n_name", F.lit(sinks.current(spark, root, "nations") is not None).alias("written"))
 
 
+@query("change_hooks", """
+SELECT 'gone' AS hook, 'shot' || n_nationkey || '.png' AS told FROM nation WHERE n_regionkey = 2 AND n_nationkey % 2 = 0
+UNION ALL SELECT 'rules', CAST(n AS VARCHAR) FROM (VALUES (1), (2)) t(n)""")
+def change_hooks(spark: SparkSession, d: str) -> DataFrame:
+    """Posts that go give their files to a hook; a hook on rules runs once for each publication that changes them."""
+    root, found = scratch.new_path(spark, "hooks"), []
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey", F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("shot"), F.col("n_nationkey").cast("string"), F.lit(".png"))).alias("screenshot"))
+    rules_ = table(spark, d, "region").select("r_regionkey", "r_name")
+    hooks = triggers.Triggers()
+    hooks.add("posts", ["n_nationkey"], lambda c: found.extend(("gone", r["path"]) for r in triggers.owned_files(c, "screenshot").toLocalIterator()))
+    hooks.add("rules", ["r_regionkey"], lambda c: found.append(("rules", str(sum(k == "rules" for k, _ in found) + 1))))
+    for made in ({"posts": n, "rules": rules_}, {"posts": n.filter("n_regionkey <> 2"), "rules": rules_}, {"rules": rules_.withColumn("r_name", F.lower("r_name"))}):
+        jobs.run(spark, [jobs.Job("import", lambda made=made: made)], root, triggers=hooks)
+    return spark.createDataFrame(found, "hook string, told string")
+
+
+@query("deferred_columns", "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def deferred_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Actors with their places, whose heavy columns are left out of the scan and recalled for the few rows that are shown."""
+    places = table(spark, d, "nation").withColumn("geometry", F.repeat(F.col("n_name"), 100))
+    light = browse.deferred(places, ("geometry", "n_comment", "absent"))
+    joined = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").join(light, F.col("c_nationkey") == F.col("n_nationkey"))
+    shown = browse.recalled(joined.filter("c_custkey < 0"), "n_nationkey", places, ("geometry",))
+    return joined.select("c_custkey", "c_name", "n_name", "n_regionkey").unionByName(shown.select("c_custkey", "c_name", "n_name", "n_regionkey"))
+
+
 @query("request_parameters", """
 SELECT n_nationkey AS k, CASE WHEN n_regionkey <> 1 THEN n_nationkey END AS number, TRY_CAST(CASE WHEN n_nationkey < 20 THEN '2023-02-' || (n_nationkey + 20) ELSE 'x' END AS DATE) AS day, CASE WHEN n_regionkey <> 2 THEN 1990 + n_nationkey END AS year,
   CASE WHEN n_regionkey <> 3 THEN n_nationkey END AS chapter, n_regionkey <> 4 AS filtered, CASE WHEN n_nationkey = 0 THEN '' ELSE (2000 + n_nationkey) || '-01-01' END AS first_day FROM nation""")

@@ -12,6 +12,19 @@ from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
 
+#: The search index of each session and folder: written once, as it would be kept beside the tables.
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = scratch.new_path(spark, "index")
+        search.rebuild_index(table(spark, d, "documents"), "doc_id", "text", path)
+        _indexes[key] = path
+    return spark.read.parquet(_indexes[key])
+
+
 @query("clean_topic_text", r"""
 WITH c AS (SELECT doc_id, 'see https://x.example/' || doc_id || '/a_b  now' || chr(9) || ' @john_doe and #some_tag_here' || chr(10) || chr(10) || chr(10) || chr(10) || ' WWW.site.org ' || text AS t FROM documents),
 u AS (SELECT doc_id, regexp_replace(t, '(?i)(https?://|www\.)\S+', ' ', 'g') AS t FROM c),
@@ -55,9 +68,7 @@ def search_all_terms(spark: SparkSession, d: str) -> DataFrame:
 WITH t AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^a-z0-9_]+') AS w, ' ' || array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), ' ') || ' ' AS s FROM documents)
 SELECT doc_id FROM t WHERE contains(s, ' of the ') AND NOT list_contains(w, 'idiot') AND (list_contains(w, 'was') OR list_contains(w, 'from')) AND len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0""")
 def search_query(spark: SparkSession, d: str) -> DataFrame:
-    path = scratch.new_path(spark, "index")
-    search.rebuild_index(table(spark, d, "documents"), "doc_id", "text", path)
-    return search.search_by_index(spark.read.parquet(path), "doc_id", '"of the" -idiot was | from wi*', cap=None)
+    return search.search_by_index(_index(spark, d), "doc_id", '"of the" -idiot was | from wi*', cap=None)
 
 
 # the other engine's \w is ASCII: its words are spelled out here

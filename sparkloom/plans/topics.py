@@ -96,3 +96,22 @@ def sibling_rank_path(spark: SparkSession, d: str) -> DataFrame:
 SELECT DISTINCT p_type AS path, p_type AS shown FROM part UNION SELECT DISTINCT p_type || ' > ' || p_brand, '— ' || p_brand FROM part""")
 def indented_labels(spark: SparkSession, d: str) -> DataFrame:
     return text_path(nodes(spark, d).select("path", tree.indented(F.col("label"), F.col("depth")).alias("shown")), "path")
+
+
+@query("toggled_topics", """
+WITH r AS (SELECT min(r_name) AS shut FROM region), o AS (SELECT max(r_name) AS opened FROM region),
+t AS (SELECT r_name AS path, 1 AS depth, r_name AS root FROM region UNION ALL SELECT r_name || ' > ' || n_name, 2, r_name FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name || ' > ' || n_name || ' > ' || s_name, 3, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT path, CASE WHEN root = shut THEN false WHEN root = opened THEN depth = 1 ELSE depth < 3 END AS expanded, CASE WHEN root = shut THEN depth = 1 WHEN root = opened THEN depth < 3 ELSE true END AS visible FROM t, r, o""")
+def toggled_topics(spark: SparkSession, d: str) -> DataFrame:
+    """A tree with all nodes expanded: one root is clicked once, another one twice."""
+    region, nation, supplier = table(spark, d, "region"), table(spark, d, "nation"), table(spark, d, "supplier")
+    two = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    three = supplier.join(two, F.col("s_nationkey") == F.col("n_nationkey"))
+    paths = region.select(F.array("r_name").alias("path")).union(two.select(F.array("r_name", "n_name"))).union(three.select(F.array("r_name", "n_name", "s_name")))
+    size = F.size("path")
+    rows = paths.select("path", F.when(size > 1, F.slice("path", F.lit(1), size - 1)).alias("parent"), (size < 3).alias("expanded"), F.lit(True).alias("visible"))
+    shut, opened = region.agg(F.min("r_name"), F.max("r_name")).first()
+    for click in ([shut], [opened], [opened]):
+        rows = tree.toggled(rows, click)
+    return text_path(rows.select("path", "expanded", "visible"), "path")

@@ -46,9 +46,21 @@ def test_search(spark):
     docs = spark.createDataFrame([(1, "The quick brown fox"), (2, "quick Ärger brown"), (3, None)], "id int, text string")
     find = lambda q: rows(search.search(docs, "id", "text", q))
     assert find("quick") == [(1,), (2,)] and find("quick ärger") == [(2,)] and find('"quick brown"') == [(1,)] and find("qui* -fox") == [(2,)] and find("fox | ärger") == [(1,), (2,)] and find("  ") == []
+    index = search.token_table(docs, "id", "text")
+    for query in ("quick", "quick ärger", '"quick brown"', '"brown quick"', "qui* -fox", "fox | ärger", "  ", "-fox", "-fox | quick", '-"quick brown"', 'br* "the quick"', '"the quick" | "quick ärger"'):
+        # a text without words is in no index
+        assert rows(search.search_by_index(index, "id", query)) == [r for r in find(query) if r != (3,)], query
+    assert rows(search.search(docs, "id", "text", "quick", cap=1)) == rows(search.search_by_index(index, "id", "quick", cap=1)) == [(1,)]
     assert search.search_path(spark, "/nowhere/at/all", "id", ["x"]) == (None, False)
 
 
+def test_whole_words(spark):
+    names = spark.createDataFrame([("Die Linke",), ("SPD",), ("CDU/CSU",), ("Straße",), ("A-B",), ("?",)], "name string")
+    texts = spark.createDataFrame([(1, "die linke"), (2, "Fraktion SPD-nah"), (3, "spd (Bund)"), (4, "die CDU/CSU, SPD"), (5, "STRAßE a-b"), (6, "A-B-C ?"), (7, None)], "id int, text string")
+    got = {r.name: (r.id, r.matches) for r in people.whole_word_matches(names, texts).collect()}
+    assert got == {"Die Linke": (1, 1), "SPD": (3, 2), "CDU/CSU": (4, 1), "Straße": (5, 1), "A-B": (5, 1), "?": (None, 0)}
+
+
 def test_resolution(spark):
     actors = spark.createDataFrame([(1, ["Thorsten Moriße", "TM"]), (2, ["Anna Muster"]), (3, ["Anna Muster"])], "actor int, names array<string>")
     index = people.name_index(actors, "actor", F.col("names"))

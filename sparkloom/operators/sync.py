@@ -34,7 +34,7 @@ def person_rows(raw: DataFrame, excluded: list[int] | None = None) -> DataFrame:
 def affiliation_rows(raw: DataFrame, periods: DataFrame, today: Column) -> DataFrame:
     """Mandates with dates of their own or of their period; an end in the future is open."""
     p = periods.select(F.col("aw_id").alias("__p"), F.col("start_date").alias("__s"), F.col("end_date").alias("__e"))
-    joined = raw.join(F.broadcast(p), F.col("parliament_period.id") == F.col("__p"), "left")
+    joined = raw.join(p, F.col("parliament_period.id") == F.col("__p"), "left")
     end = not_future(F.coalesce("end_date", "__e"), today)
     return joined.select(F.col("id").alias("aw_id"), F.col("politician.id").alias("person_id"), F.col("parliament_period.id").alias("period_id"), F.coalesce("start_date", "__s").alias("start_date"), end.alias("end_date"), F.coalesce("info", F.lit("")).alias("comment"))
 

@@ -150,7 +150,7 @@ def id_string_agg(spark: SparkSession, d: str) -> DataFrame:
 SELECT l_orderkey, string_agg(s_name || ' (' || n_name || ')', ', ' ORDER BY l_suppkey) AS joined
 FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
 def originators_with_verband(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return evidence.string_agg(rows, "l_orderkey", ["l_suppkey"], F.concat("s_name", F.lit(" ("), "n_name", F.lit(")")))
 

@@ -10,7 +10,8 @@ others are revisits that refer to it.
 
 Defined cases: a null html is an empty payload; payloads below the limit are always responses; rows repeated with one page_id
 are all responses if it is the largest; a null page_id or url is an absent header and comes back null; rows of a null
-page_id are never referred to and are responses if no other row has their payload; an empty table makes no packages.
+page_id are never referred to and are responses if no other row has their payload; a payload of any length is one record; columns
+other than page_id, url and html are ignored; an empty table makes no packages.
 """
 
 from __future__ import annotations
@@ -30,11 +31,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, shared_path, slices, stage
+from sparkloom.llm.common import bounded_batches, key_bitmap, maybe_among, release, shared_path, slices, stage
 
 LEAST_REVISIT = 1000
 #: Payload bytes after which a package is closed and the next one begun.
 PACKAGE_BYTES = 16 << 20
+#: Packages that one task reads, of many.
+READ_TOGETHER = 8
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 # Signatures and sizes of the ZIP format
 _END, _END64_AT, _END64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -178,13 +181,15 @@ def _put(path: str, data: bytes) -> None:
         f.write(data)
 
 
-def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """path, records of the packages that hold a record for each row of ``pages`` (page_id, url, html)."""
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
-    copied = rows.filter(F.col("n") >= least).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("held")).filter("copies > 1 AND held IS NOT NULL").select("digest", "held")
-    told = rows.join(copied, "digest", "left").withColumn("refers_to", F.expr("CASE WHEN page_id IS NULL OR page_id <> held THEN held END")).drop("held", "n")
-    root = shared_path(pages.sparkSession, "packages")
+def _digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, digest, n of each row of ``pages``."""
+    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+
+
+def _records(rows: DataFrame, root: str, package_bytes: int, among=None) -> DataFrame:
+    """path, records of packages with a record for each of the rows (page_id, url, payload, digest, n, refers_to, key): a
+    revisit has no payload. With ``among``, only for those whose key is surely not in that bitmap."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         package, attempt = Package(), uuid.uuid4().hex
@@ -195,24 +200,56 @@ def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes:
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(package.index)], pa.int64())], names=["path", "records"])
 
         for batch in slices(batches, "payload"):
+            if among is not None:
+                batch = batch.filter(pa.array(~maybe_among(among.value, batch.column("key").to_numpy())))
             for row in batch.to_pylist():
-                body = row["payload"].encode()
-                headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str((row['page_id'], row['digest'])))}>"), ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("Payload-Length", str(len(body)))]
+                headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str((row['page_id'], row['digest'])))}>"), ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("Payload-Length", str(row["n"]))]
                 headers += [("Page-ID", str(row["page_id"]))] * (row["page_id"] is not None)
                 headers += [("WARC-Target-URI", json.dumps(row["url"]))] * (row["url"] is not None)
                 if row["refers_to"] is None:
-                    record = warc_record("response", headers, body)
+                    record = warc_record("response", headers, row["payload"].encode())
                 else:
                     record = warc_record("revisit", [*headers, ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")], b"")
-                package.add(row["page_id"], row["url"], record, len(body))
+                package.add(row["page_id"], row["url"], record, len(record))
                 if package.taken >= package_bytes:
                     yield close()
                     package = Package()
         if package.index:
             yield close()
 
+    return rows.select("page_id", "url", "payload", "digest", "n", "refers_to", "key").mapInArrow(write, "path string, records long")
+
+
+def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """path, records of the packages that hold a record for each row of ``pages`` (page_id, url, html).
+
+    Digests decide, without payloads, which rows are revisits, and those are written without. Payloads whose digest is surely not
+    a copied one are written where they are read; only the others are shuffled, by digest and page_id, so that the
+    copies of one page do not meet in one task."""
     bounded_batches(pages.sparkSession)
-    return stage(told.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(write, "path string, records long"), "package-list")
+    rows = _digests(pages).withColumn("key", F.xxhash64("digest"))
+    held: list[str] = []
+    narrow = stage(rows.drop("payload"), "digests", held)
+    copied = narrow.filter(F.col("n") >= least).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("held"))
+    copied = stage(copied.filter("copies > 1 AND held IS NOT NULL").select("digest", "held"), "copied", held)
+    told = narrow.join(copied, "digest", "left").withColumn("refers_to", F.expr("CASE WHEN page_id IS NULL OR page_id <> held THEN held END"))
+    revisits = told.filter("refers_to IS NOT NULL").withColumn("payload", F.lit(None).cast("string"))
+    answers = told.filter("refers_to IS NULL").select(F.col("digest").alias("d"), F.col("page_id").alias("p")).distinct()
+    bits = key_bitmap(copied.select(F.xxhash64("digest").alias("key")), "key")
+
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe_among(bits.value, batch.column("key").to_numpy())))
+
+    maybe = rows.mapInArrow(copies, rows.schema)
+    maybe = maybe.join(answers, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
+    none, root = F.lit(None).cast("long"), shared_path(pages.sparkSession, "packages")
+    written = _records(rows.withColumn("refers_to", none), root, package_bytes, bits)
+    for some in (maybe.withColumn("refers_to", none), revisits):
+        written = written.unionByName(_records(some, root, package_bytes))
+    packages = stage(written, "package-list")
+    release(held)
+    return packages
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
@@ -245,8 +282,9 @@ def read_packages(packages: DataFrame) -> DataFrame:
                 file.close()
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload string"
-    count = max(1, packages.count())
-    return packages.select("path").repartition(min(count, 2000)).mapInArrow(read, schema)
+    count, slots = packages.count(), packages.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(count, slots), -(-count // READ_TOGETHER))
+    return packages.select("path").repartition(tasks).mapInArrow(read, schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker takes from a batch at a time.
 SLICE_BYTES = 4 << 20
+#: Bits of a bitmap of keys, which spares a pass most rows; fixed, whatever the input.
+FILTER_BITS = 1 << 24
 #: Low bits of ``monotonically_increasing_id`` that count inside a partition.
 _PART_BITS = 33
 _own: dict[str, str] = {}
@@ -85,8 +87,9 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def without(numbered: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """``numbered`` without the rows whose number, in column ``row``, is among those of ``gone`` (row), and without that column.
+def without(numbered: DataFrame, row: str, gone: DataFrame, keep: bool = False) -> DataFrame:
+    """``numbered`` without the rows whose number, in column ``row``, is among those of ``gone`` (row), and without that column,
+    unless it is to be kept.
 
     The numbers are those of ``monotonically_increasing_id``, which hold the partition that gave them. Those of ``gone`` are
     written to a folder for each such partition, and a task that meets rows of a partition reads its folder: no text is
@@ -115,10 +118,28 @@ def without(numbered: DataFrame, row: str, gone: DataFrame) -> DataFrame:
                 if len(held):
                     stays &= held[np.minimum(np.searchsorted(held, number), len(held) - 1)] != number
             left = batch if stays.all() else batch.filter(pa.array(stays))
-            yield pa.RecordBatch.from_arrays([c for i, c in enumerate(left.columns) if i != at], schema=left.schema.remove(at))
+            if keep:
+                yield left
+            else:
+                yield pa.RecordBatch.from_arrays([c for i, c in enumerate(left.columns) if i != at], schema=left.schema.remove(at))
 
     bounded_batches(spark)
-    return numbered.mapInArrow(run, numbered.drop(row).schema)
+    return numbered.mapInArrow(run, numbered.schema if keep else numbered.drop(row).schema)
+
+
+def key_bitmap(keys: DataFrame, column: str, bits: int = FILTER_BITS):
+    """A broadcast bitmap of ``bits`` bits with those of a column of 64-bit keys set: 2 MB whatever their number."""
+    words = keys.select(F.pmod(column, F.lit(bits)).alias("place")).selectExpr("int(place div 32) AS w", "shiftleft(1L, int(place % 32)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = np.zeros(bits // 32, np.uint32)
+    found = words.toArrow()
+    table[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def maybe_among(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys' bits are set: of all keys of the bitmap, and of some others."""
+    place = keys % np.int64(len(table) * 32)
+    return (table[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) == 1
 
 
 def bounded_batches(spark: SparkSession, most: int = 2 * SLICE_BYTES) -> None:

@@ -26,6 +26,14 @@ def test_pages_come_back(spark):
     assert a.archived(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_copies_and_a_long_page(spark):
+    rows = [(i, "u", "<p>" + "z" * 1500, "c") for i in range(300)] + [(1000, "v", "é" * 3_000_000, "c"), (1001, "v", "w" * 2000, "c"), (1002, "v", "w" * 2000, "c")]
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in a.archived(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got.pop(299) == ("response", None, 1503) and got.pop(1000) == ("response", None, 6_000_000)
+    assert got.pop(1002) == ("response", None, 2000) and got.pop(1001) == ("revisit", 1002, 2000)
+    assert set(got.values()) == {("revisit", 299, 1503)} and len(got) == 299
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_directories(tmp_path, wide, monkeypatch):
     package = a.Package(force_zip64=wide)

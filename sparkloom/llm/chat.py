@@ -3,15 +3,17 @@
 Legal conversations are an optional system turn, then user and assistant turns in alternation, ending with the
 assistant. Each turn is kept, merged into the one before it, relabelled, or preceded by empty turns; the cheapest choice for the
 whole conversation is taken. A turn's effect is a matrix of costs between the automaton's states and such matrices multiply
-in the (min, +) sense, so a long conversation is cut into chunks: the chunks' matrices give the costs at each chunk's
-start, a backward pass the states at each chunk's end, and then every chunk is repaired on its own. The result is the same as of
-one pass over the whole conversation, whatever the chunk size.
+in the (min, +) sense, so a conversation of more than ``CHUNK`` turns is cut into chunks: the chunks' matrices give the costs at
+each chunk's start, a backward pass the states at each chunk's end, and then every chunk is repaired on its own. The result is the
+same as of one pass over the whole conversation, whatever the chunk size. Other conversations are shuffled once and repaired
+where they arrive.
 
 Turns are ordered by (turn, role, first 64 characters of the text, hash of the text), nulls first. Ties between repairs go to the earlier state at each step, seen from
 the end (start, system, user, assistant), then to keep, merge, insert, relabel in this order.
 
 Defined cases: a null or unknown role is relabelled (cheaply, cost ``UNKNOWN``) or merged; a null text is rendered empty; repeated rows
-are turns of their own; rows of a null conv_id are one conversation; an empty table gives no rows.
+are turns of their own; rows of a null conv_id are one conversation; conversations and texts of any length are repaired whole; an
+empty table gives no rows; columns other than conv_id, turn, role and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from sparkloom.llm.common import bounded_batches, stage
 
 MERGE, INSERT, RELABEL, UNKNOWN = 2, 3, 4, 1
 CHUNK = 4096
+#: Names of long conversations that are broadcast; more meet the turns in a shuffled join.
+BROADCAST_ROWS = 1_000_000
 #: Other names of the roles.
 ALIASES = {"system": ("system", "developer"), "user": ("user", "human", "prompter"), "assistant": ("assistant", "bot", "gpt", "model", "ai", "chatbot")}
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -136,15 +140,22 @@ def pieces(given: np.ndarray, texts: list[str | None], costs: np.ndarray, end: i
     return out
 
 
+#: The order of a conversation's turns; the last key parts repeated rows, which are interchangeable, so that a hot turn is split as well.
+ORDER = ["turn", "role", "opening", "like", "apart"]
+
+
+def _keyed(turns: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, given and the other keys of ``ORDER``."""
+    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), symbol(F.col("role").cast("string")).alias("given"))
+    rows = rows.withColumn("like", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("apart", F.xxhash64(F.monotonically_increasing_id()))
+    return rows.withColumn("opening", F.substring("text", 1, 64))
+
+
 def _ordered(turns: DataFrame, chunk: int) -> DataFrame:
     """conv_id, turn, role, text, given, position in the conversation, its turns, chunk; dealt by ranges of the order, so
     that a conversation of any length is spread over tasks."""
-    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), symbol(F.col("role").cast("string")).alias("given"))
-    rows = rows.withColumn("like", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("apart", F.xxhash64(F.monotonically_increasing_id()))
-    # the last key parts repeated rows, which are interchangeable, so that a hot turn is split as well
-    rows = rows.withColumn("opening", F.substring("text", 1, 64))
-    order = ["turn", "role", "opening", "like", "apart"]
+    parts, order = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), ORDER
+    rows = _keyed(turns)
     dealt = rows.repartitionByRange(parts, "conv_id", *order).withColumn("part", F.spark_partition_id())
     dealt = stage(dealt.withColumn("nth", F.row_number().over(Window.partitionBy("part", "conv_id").orderBy(*order))), "turns")
     runs = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
@@ -213,21 +224,58 @@ def _contexts(rows: DataFrame) -> DataFrame:
     return stage(costs.join(final.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "state"), costs["conv_id"].eqNullSafe(F.col("c")) & (costs["chunk"] == F.col("k"))).select("conv_id", "chunk", "costs", "state"), "contexts")
 
 
+def _by_conversation(rows: DataFrame, each, schema: str) -> DataFrame:
+    """``each`` applied to the table of every conversation, in order; a task holds one conversation at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep: list[pa.RecordBatch] = []
+        for batch in batches:
+            conv = batch.column("conv_id").to_pylist()
+            if keep and conv and conv[0] != keep[-1].column("conv_id")[-1].as_py():
+                yield from each(pa.Table.from_batches(keep)).combine_chunks().to_batches()
+                keep = []
+            cut = [0, *(i for i in range(1, len(conv)) if conv[i] != conv[i - 1])]
+            for s, e in zip(cut[:-1], cut[1:]):
+                yield from each(pa.Table.from_batches([*keep, batch.slice(s, e - s)])).combine_chunks().to_batches()
+                keep = []
+            if conv:
+                keep.append(batch.slice(cut[-1]))
+        if keep:
+            yield from each(pa.Table.from_batches(keep)).combine_chunks().to_batches()
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *ORDER).select("conv_id", "turn", "text", "given").mapInArrow(run, schema)
+
+
 def formatted(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, turn, position, action, role, inserted, cost, rendered of each row of ``turns`` (conv_id, turn, role, text):
     a conversation's rendered text is that of its rows in order of position."""
     bounded_batches(turns.sparkSession)
+    turns = turns.select("conv_id", "turn", "role", "text")
     kind, when = dict(turns.dtypes)["conv_id"], dict(turns.dtypes)["turn"]
-    rows = stage(_ordered(turns, chunk), "placed")
-    contexts = _contexts(rows.filter(F.col("turns") > chunk).select("conv_id", "chunk", "position", "given"))
-    held = contexts.select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "costs", "state")
-    told = rows.join(held, rows["conv_id"].eqNullSafe(held["c"]) & (rows["chunk"] == held["k"]), "left").drop("c", "k")
-
-    def repair(t: pa.Table) -> pa.Table:
-        costs, state, turns = t.column("costs")[0].as_py(), t.column("state")[0].as_py(), t.column("turns")[0].as_py()
-        last = t.column("position")[-1].as_py() == turns - 1
-        out = pieces(t.column("given").to_numpy(), t.column("text").to_pylist(), _BEGIN if costs is None else np.array(costs), state, last)
+    schema = f"conv_id {kind}, turn {when}, position long, action string, role string, inserted string, cost long, rendered string"
+    # at most one conversation in ``chunk`` rows is long
+    long = stage(turns.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > chunk).select(F.col("conv_id").alias("c")), "long")
+    count = long.count()
+
+    def repaired(t: pa.Table, first: int, costs: np.ndarray, state: int | None, last: bool) -> pa.Table:
+        out = pieces(t.column("given").to_numpy(), t.column("text").to_pylist(), costs, state, last)
         action, role, inserted, cost, rendered = zip(*out)
-        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "position": t.column("position"), "action": pa.array(action), "role": pa.array(role), "inserted": pa.array(inserted), "cost": pa.array(cost, pa.int64()), "rendered": pa.array(rendered)})
+        position = pa.array(np.arange(first, first + len(out)))
+        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "position": position, "action": pa.array(action), "role": pa.array(role), "inserted": pa.array(inserted), "cost": pa.array(cost, pa.int64()), "rendered": pa.array(rendered)})
+
+    def whole(t: pa.Table) -> pa.Table:
+        return repaired(t, 0, _BEGIN, None, True)
+
+    if not count:
+        return _by_conversation(_keyed(turns), whole, schema)
+    few = F.broadcast(long) if count <= BROADCAST_ROWS else long
+    short = turns.join(few, turns["conv_id"].eqNullSafe(few["c"]), "left_anti")
+    rows = stage(_ordered(turns.join(few, turns["conv_id"].eqNullSafe(few["c"]), "left_semi"), chunk), "placed")
+    held = _contexts(rows.select("conv_id", "chunk", "position", "given")).select(F.col("conv_id").alias("c"), F.col("chunk").alias("k"), "costs", "state")
+    told = rows.join(held, rows["conv_id"].eqNullSafe(held["c"]) & (rows["chunk"] == held["k"])).drop("c", "k")
+
+    def part(t: pa.Table) -> pa.Table:
+        first, turns = t.column("position")[0].as_py(), t.column("turns")[0].as_py()
+        return repaired(t, first, np.array(t.column("costs")[0].as_py()), t.column("state")[0].as_py(), first + t.num_rows == turns)
 
-    return _by_chunk(told, repair, f"conv_id {kind}, turn {when}, position long, action string, role string, inserted string, cost long, rendered string")
+    return _by_conversation(_keyed(short), whole, schema).unionByName(_by_chunk(told, part, schema))

@@ -10,7 +10,8 @@ How it stays linear in the size of a group:
   of each set, whose Hamming distance never exceeds the sets' true difference. Pairs that the bound cannot exclude,
   all of them, are confirmed like the others. No candidate is capped or dropped.
 
-Joins by bucket are sort-merge joins of two staged tables, so that adaptive execution can split a bucket of many members.
+Joins by bucket meet staged tables, whose size is known when they are planned: a small one is broadcast and nothing is dealt by
+bucket; with a larger one both sides are plain exchanges, in which adaptive execution splits a bucket of many members.
 
 Defined cases: null or blank text has an empty set, links with nothing and is its own component; equal rows and equal
 sets are linked (similarity 1); a document of fewer than five words has one shingle, the whole sequence; very long texts are
@@ -27,18 +28,16 @@ from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.circulant import BANDS, ROWS, Circulant
-from sparkloom.llm.common import bounded_batches, free_name, release, slices, stage, utf8, without
+from sparkloom.llm.common import bounded_batches, free_name, key_bitmap, maybe_among, release, slices, stage, utf8, without
 from sparkloom.llm.shingles import mix, shingle_sets
 
 PERCENT = 85
 BITS = 1024
 BLOCK = 1024
-#: Bits of the filter that spares the second pass most documents; fixed, whatever the input.
-FILTER_BITS = 1 << 24
 _SIGNED = "doc_id long, row long, n_shingles long, node binary, origin long, bitmap binary, buckets array<long>"
 
 
@@ -84,24 +83,14 @@ def signatures(docs: DataFrame, rows: int = ROWS, bands: int = BANDS, row: Colum
     return docs.select(F.col("doc_id").cast("long"), row.cast("long").alias("row"), "text", _text_key().alias("origin")).mapInArrow(sign, _SIGNED)
 
 
-def _origin_filter(spark: SparkSession, origins: DataFrame, bits: int = FILTER_BITS):
-    """A broadcast bitmap of ``bits`` bits with those of the origins set: 2 MB whatever their number."""
-    words = origins.select(F.pmod("origin", F.lit(bits)).alias("place")).selectExpr("int(place div 32) AS w", "shiftleft(1L, int(place % 32)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    table = np.zeros(bits // 32, np.uint32)
-    found = words.toArrow()
-    table[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(table)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, shingles: the whole sets of the wanted nodes, each once, from a second pass over the texts."""
-    held = _origin_filter(docs.sparkSession, wanted)
+    held = key_bitmap(wanted, "origin")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, done = held.value, set()
         for batch in slices(batches, "text"):
-            place = batch.column("origin").to_numpy() % np.int64(len(table) * 32)
-            batch = batch.filter(pa.array((table[place // 32] >> (place % 32).astype(np.uint32)) & np.uint32(1) == 1))
+            batch = batch.filter(pa.array(maybe_among(table, batch.column("origin").to_numpy())))
             node, found = [], []
             for x in shingle_sets(utf8(batch.column("text"))):
                 if len(x) and (k := _node(x)) not in done:
@@ -120,7 +109,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = pairs.join(left, "a").join(right, "b")
     return both.filter(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
@@ -132,10 +121,10 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     labels = stage(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{name}-0", held)
     for i in numbers(1):
         before = held[1:]
-        near = edges.join(labels.hint("merge"), edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         moved = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         ahead = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = moved.join(ahead.hint("merge"), "component").select("node", "old", F.least("component", "further").alias("component"))
+        moved = moved.join(ahead, "component").select("node", "old", F.least("component", "further").alias("component"))
         moved = stage(moved, f"{name}-{i}", held)
         del held[1:-1]
         release(before)
@@ -150,7 +139,7 @@ def _unsettled(members: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     held = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).filter("low <> high")
     mixed = stage(mixed.select("bucket", "members"), "mixed")
-    held = held.drop("members").join(mixed.hint("merge"), "bucket").join(nodes.select("node", "n", "bitmap"), "node")
+    held = held.drop("members").join(mixed, "bucket").join(nodes.select("node", "n", "bitmap"), "node")
     blocks = F.ceil(F.col("members") / block)
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     held = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
@@ -213,15 +202,15 @@ def grouped(docs: DataFrame, percent: int, rows: int, bands: int, block: int, ro
     signed = stage(signatures(docs, rows, bands, row), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets"))
-    nodes = stage(nodes, "nodes")
+    nodes = stage(nodes, "nodes", held)
     every = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = stage(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "shared", held)
-    members = stage(every.join(shared.hint("merge"), "bucket"), "members", held)
+    members = stage(every.join(shared, "bucket"), "members", held)
     score = members.groupBy("node").agg(F.sum("members").alias("score"))
     ranked = stage(members.join(score, "node").select("bucket", "node", "score"), "ranked", held)
     hubs = ranked.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")).select("bucket", F.col("top.node").alias("hub"))
     hubs = stage(hubs, "hubs", held)
-    spokes = ranked.join(hubs.hint("merge"), "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    spokes = ranked.join(hubs, "bucket").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     wanted = nodes.join(score.select("node"), "node", "left_semi").select("node", "origin")
     sets = stage(_sets(docs, wanted), "sets", held)
     links = stage(_confirmed(spokes, sets, percent), "links", held)
@@ -230,11 +219,13 @@ def grouped(docs: DataFrame, percent: int, rows: int, bands: int, block: int, ro
     more = stage(_confirmed(rest, sets, percent), "links-rest", held)
     if not more.isEmpty():
         labels = components(links.union(more), "all")
-    release(held)
     labels = labels.join(nodes.select("node", "least"), "node")
     lowest = labels.groupBy("component").agg(F.min("least").alias("lowest"))
     known = nodes.select("node", "least").join(labels.join(lowest, "component").select("node", "lowest"), "node", "left")
-    found = signed.select("doc_id", "row", "n_shingles", "node").join(known.select("node", F.coalesce("lowest", "least").alias("lowest")), "node", "left")
+    # many rows may have one node: staged, so that the join of the rows can be split
+    known = stage(known.select("node", F.coalesce("lowest", "least").alias("lowest")), "known")
+    release(held)
+    found = signed.select("doc_id", "row", "n_shingles", "node").join(known, "node", "left")
     alone = F.col("node").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("lowest.doc_id"))
     return found.select("doc_id", "row", "n_shingles", component.alias("component_id"), (alone | (F.col("lowest") == place)).alias("first"))

@@ -63,3 +63,14 @@ def test_chunks_do_not_change_the_result(spark):
 
 def test_empty(spark):
     assert chat.formatted(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_texts_and_conversations_side_by_side(spark):
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long, "x"), (1, 1, "assistant", "y", "x")] + [(2, t, ("user", "assistant")[t % 2], f"t{t}", "x") for t in range(10_000)] + [(3, 0, "tool", None, "x")]
+    got = chat.formatted(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows)
+    text = {c: "".join(r.rendered for r in sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)) for c in (1, 2, 3)}
+    assert text[1] == f"<|im_start|>user\n{long}<|im_end|>\n<|im_start|>assistant\ny<|im_end|>\n"
+    assert text[2].count("<|im_start|>") == text[2].count("<|im_end|>") == 10_000 and sum(r.cost for r in got if r.conv_id == 2) == 0
+    assert [r.position for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.turn)] == list(range(10_000))

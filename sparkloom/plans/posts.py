@@ -152,6 +152,26 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return found.select(vectors.text_key(F.col("source")).alias("key"), F.col("vector")[0].alias("v")).distinct()
 
 
+def _letter_shares(texts: DataFrame) -> DataFrame:
+    """A stand-in for an embedding model that SQL can express too: the shares of some letters."""
+    low, size = F.lower("text"), F.length("text")
+    return texts.select("key", F.array(*[(size - F.length(F.replace(low, F.lit(c), F.lit("")))) / size for c in "aent"]).alias("vector"))
+
+
+@query("embedded_texts", """
+WITH d AS (SELECT doc_id, lower(text) AS t, length(text) AS n FROM documents WHERE length(text) > 0)
+SELECT doc_id, CASE WHEN n % 2 = 0 THEN -1.0 ELSE (n - length(replace(t, 'a', ''))) / CAST(n AS DOUBLE) END AS a, CASE WHEN n % 2 = 0 THEN -1.0 ELSE (n - length(replace(t, 't', ''))) / CAST(n AS DOUBLE) END AS t,
+  n % 2 = 1 AS added FROM d""")
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of even length are in the cache, with another vector, so they aren't encoded again; the others are encoded and added to it."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("length(text) > 0")
+    held = docs.filter("length(text) % 2 = 0").select(F.lit("letters").alias("model"), F.lit(128).alias("max_seq_length"), vectors.text_key(F.col("text")).alias("key"), F.array(*[F.lit(-1.0)] * 4).alias("vector")).distinct()
+    stale = docs.select(F.lit("letters").alias("model"), F.lit(64).alias("max_seq_length"), vectors.text_key(F.col("text")).alias("key"), F.array(*[F.lit(-2.0)] * 4).alias("vector")).distinct()
+    found, cache = vectors.encoded(docs, "text", held.unionByName(stale), "letters", 128, _letter_shares)
+    added = cache.filter("max_seq_length = 128").select("key", (F.col("vector")[0] >= 0).alias("added"))
+    return found.withColumn("key", vectors.text_key(F.col("text"))).join(added, "key").select("doc_id", F.col("vector")[0].alias("a"), F.col("vector")[3].alias("t"), "added")
+
+
 @query("pca_2d")
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     return vectors.two_dimensions(table(spark, d, "embeddings"), "embedding").select("vec_id", "x", "y")

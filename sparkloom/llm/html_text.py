@@ -1,15 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its root-to-leaf path of tags. For each path the text length outside links, the
-punctuation and the number of blocks give a ratio; ratios are smoothed over neighbouring blocks, fused with the path's
-own, and thresholded. The paths that remain choose the content element: the article (or main element, or else the smallest
-element with nearly all of their text) that holds most of their score. Its blocks are the text, without those
-inside elements that are never content (scripts, navigation, forms ...) or are named as such (advert, comments ...),
-and without blocks of links whose path falls below the threshold.
-
-Defined cases: null, empty or unparsable html gives an empty text; pages of any length are read whole; white space, also
-no-break spaces and line breaks (``<br>``), becomes one space; an unclosed element ends with its parent; equal
-blocks are all kept, in page order; repeated rows each give a row.
+A page is read into blocks of text, each with its root-to-leaf path of tags. For each path the text length outside links and the
+punctuation, both a block, give a ratio; ratios are smoothed over neighbouring blocks and fused: the path's own, the smoothed one and a
+prior that is small below elements whose tag or class speaks against content. Paths whose fused score reaches ``SHARE`` of the
+page's mean score, weighted by text and prior, are content. The content element is the smallest one around all blocks of content paths,
+widened to the article or main element it is in. Its text is that of the content paths and of those short or
+plain blocks (headings, list items) that nothing speaks against; a page's last heading of first order before the element belongs to it if it has
+none of its own.
+
+Class words speak against elements, but not on headings and paragraphs, and those of ``AMBIGUOUS`` only moderately, so that a section of good
+prose stays whatever its name. No tag or word decides alone; only what is never shown is left out unread.
+
+Defined cases: null, empty or unparsable html gives an empty text; pages of any length are read whole, in time that does not depend on
+how deep elements nest; white space, also no-break spaces and line breaks (``<br>``), becomes one space; an unclosed element ends with
+its parent; equal blocks are all kept, in page order; repeated rows each give a row; an empty table gives no rows; columns other than
+page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -27,76 +32,115 @@ from sparkloom.llm.common import bounded_batches, slices
 _TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>)""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
-_PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
+_PUNCTUATION = re.compile(r"[.,;:!?…](?=\s|$)|[。，、；：！？]")
 _RAW = {"script", "style", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements that are never content, and words that name such an element in its class, id or role.
-NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "dialog", "menu", "template", "svg", "math", "canvas", "audio", "video", "object", "map"} | _RAW
+#: Elements that are never shown as text, and elements that speak against content.
+NEVER = {"head", "button", "select", "option", "template", "svg", "math", "canvas", "audio", "video", "object", "map"} | _RAW
+AGAINST = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "label", "header"}
+#: Words of classes, ids and roles: of readers' comments, of what is not content, and of what may be its subject.
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies"}
 NAMED = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb",
-    "breadcrumbs", "sidebar", "complementary", "footer", "contentinfo", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "disclaimer", "paywall", "newsletter", "subscribe", "subscription",
-    "signup", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "responses", "respond", "discussion", "disqus", "share", "sharing", "social", "related", "recommended", "recommendations", "search", "login", "skip",
-    "pagination", "pager", "toolbar", "widget", "hidden",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adslot", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar",
+    "complementary", "footer", "contentinfo", "masthead", "cookie", "cookies", "consent", "gdpr", "paywall", "newsletter", "subscribe", "signup", "popup", "modal", "share", "sharing", "social", "login",
+    "skip", "pagination", "pager", "toolbar", "widget",
+}
+AMBIGUOUS = {
+    "banner", "notice", "notices", "notification", "alert", "disclaimer", "promotion", "subscription", "overlay", "related", "recommended", "recommendations", "search", "discussion", "responses", "respond",
 }
+#: A class that begins so tells what is beside or inside an element, not what it is.
+_BESIDE = {"has", "with", "without", "no", "is"}
+#: What remains of a score below elements that are commented, that something speaks against, or may speak against.
+_COMMENTED, _UNLIKELY, _DOUBTFUL = 0.005, 0.01, 0.35
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 _SCOPE = {"html", "body", "table", "td", "th", "article", "section", "div", "main", "ul", "ol", "dl", "blockquote", "aside", "nav", "header", "footer", "form"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-#: Blocks on each side over which ratios are smoothed, and the share of their deviation that a path has to reach.
+_LEAVES = _HEADINGS | {"p", "li", "dt", "dd", "pre", "td", "th", "tr", "figcaption", "caption", "summary", "address"}
+#: Blocks on each side over which ratios are smoothed, their weights by distance, the smoothed ratio's part in the fused one, and the
+#: share of the mean score that a content path reaches.
 SPAN = 2
-SHARE = 0.3
 _WEIGHTS = (0.4, 0.24, 0.06)
+SMOOTH = 0.3
+SHARE = 0.25
+LINKED = 0.5
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "article")
+    """``start`` and ``end`` are the numbers of the page's blocks before it was opened and closed: its own lie between them."""
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    __slots__ = ("tag", "parent", "path", "prior", "never", "linked", "article", "around", "start", "end")
+
+    def __init__(self, tag: str, parent: Element | None, path: int, prior: float, never: bool, start: int) -> None:
+        self.tag, self.parent, self.path, self.prior, self.never, self.start, self.end = tag, parent, path, prior, never, start, 1 << 60
+        self.linked = tag == "a" or parent is not None and parent.linked
         self.article = tag in ("article", "main") or parent is not None and parent.article
+        # the nearest element that makes blocks
+        self.around = parent.around if tag in _INLINE and parent is not None else self
 
 
 class Block:
-    __slots__ = ("path", "element", "parts", "linked")
+    __slots__ = ("element", "parts", "linked")
 
-    def __init__(self, path: str, element: Element) -> None:
-        self.path, self.element, self.parts, self.linked = path, element, [], 0
+    def __init__(self, element: Element) -> None:
+        self.element, self.parts, self.linked = element, [], 0
 
 
-def _never(tag: str, attributes: str, parent: Element | None) -> bool:
-    if tag in NEVER or tag == "header" and not (parent is not None and parent.article):
-        return True
-    if not attributes or tag in ("html", "body", "article", "main") or tag in _INLINE - {"span", "a"}:
-        return False
+def judged(tag: str, attributes: str, parent: Element) -> tuple[float, bool]:
+    """What remains of a score below an element, and whether it is never shown."""
+    if tag in NEVER:
+        return 0.0, True
+    prior = _UNLIKELY if tag in AGAINST and not (tag == "header" and parent.article) else 1.0
+    if not attributes:
+        return prior, False
+    bare = tag in _HEADINGS or tag in ("html", "body", "article", "main", "p") or tag in _INLINE - {"span", "a"}
     for name, *values in _NAMES.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role"):
+            return 0.0, True
+        if name in ("class", "id", "role") and not bare:
             for word in value.split():
-                parts = {p.lower() for p in _PARTS.findall(word)}
-                if parts & NAMED or "header" in parts and not (parent is not None and parent.article):
-                    return True
-    return False
+                parts = [p.lower() for p in _PARTS.findall(word)]
+                if not parts or parts[0] in _BESIDE:
+                    continue
+                if not COMMENTS.isdisjoint(parts):
+                    prior = min(prior, _COMMENTED)
+                elif not NAMED.isdisjoint(parts) or "header" in parts and not parent.article:
+                    prior = min(prior, _UNLIKELY)
+                elif not AMBIGUOUS.isdisjoint(parts):
+                    prior = min(prior, _DOUBTFUL)
+    return prior, False
 
 
-def blocks(html: str) -> list[Block]:
-    """The blocks of text of a page in page order, without those that are never content."""
-    root = Element("", None, False)
+def blocks(html: str) -> tuple[Element, list[Block]]:
+    """The root and the blocks of text of a page in page order, without those that are never shown."""
+    root = Element("", None, 0, 1.0, False, 0)
     stack, found, open_block, at, skip_to = [root], [], None, 0, ""
+    paths: dict[tuple[int, str, float], int] = {}
+    # where in the stack the open elements of each tag are, and those that end the search for a paragraph or item to close
+    places: dict[str, list[int]] = defaultdict(list)
+    scopes = [0]
+
+    def close(upto: int) -> None:
+        for element in stack[upto:]:
+            element.end = len(found)
+            places[element.tag].pop()
+            if element.tag in _SCOPE:
+                scopes.pop()
+        del stack[upto:]
 
     def text(raw: str) -> None:
         nonlocal open_block
-        if stack[-1].dropped or not raw or open_block is None and raw.isspace():
+        here = stack[-1]
+        if here.never or not raw or open_block is None and raw.isspace():
             return
         if open_block is None:
-            own = [e for e in stack if e.tag not in _INLINE]
-            open_block = Block("/".join(e.tag for e in own), own[-1])
+            open_block = Block(here.around)
             found.append(open_block)
         raw = unescape(raw) if "&" in raw else raw
         open_block.parts.append(raw)
-        if any(e.tag == "a" for e in stack[-3:]):
+        if here.linked:
             open_block.linked += len(raw)
 
     for m in _TAG.finditer(html):
@@ -118,89 +162,88 @@ def blocks(html: str) -> list[Block]:
         if tag not in _INLINE:
             open_block = None
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if places[tag]:
+                close(places[tag][-1])
             continue
         if tag in _VOID:
             continue
         if tag in _CLOSES_P or tag in _SAME:
-            ends = _SAME.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+            ends = max((places[t][-1] for t in _SAME.get(tag, ("p",)) if places[t]), default=0)
+            if ends > scopes[-1]:
+                close(ends)
         parent = stack[-1]
-        stack.append(Element(tag, parent, parent.dropped or _never(tag, m[3], parent) or parent.tag == "header" and parent.article and tag not in _HEADINGS | _INLINE | {"div"}))
+        prior, never = judged(tag, m[3], parent)
+        prior = min(prior, parent.prior)
+        path = parent.path if tag in _INLINE and prior == parent.prior else paths.setdefault((parent.path, tag, prior), len(paths) + 1)
+        places[tag].append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
+        stack.append(Element(tag, parent, path, prior, never or parent.never, len(found)))
         if tag in _RAW and not m[3].rstrip().endswith("/"):
             skip_to = tag
     if not skip_to:
         text(html[at:])
-    return found
+    close(1)
+    root.end = len(found)
+    return root, found
 
 
-def path_scores(found: list[Block], texts: list[str]) -> dict[str, float]:
-    """The fused ratio of each path: its own times the smoothed one of its blocks."""
-    total: dict[str, list[float]] = defaultdict(lambda: [0, 0, 0])
+def path_scores(found: list[Block], texts: list[str]) -> dict[int, float]:
+    """The fused score of each path: its ratio, that of its blocks' neighbourhoods, and its prior."""
+    total: dict[int, list[float]] = defaultdict(lambda: [0, 0, 0])
     for block, text in zip(found, texts):
-        sums = total[block.path]
+        sums = total[block.element.path]
         sums[0] += max(0, len(text) - block.linked)
         sums[1] += len(_PUNCTUATION.findall(text))
         sums[2] += 1
     ratio = {path: length / n * (1 + marks / n) for path, (length, marks, n) in total.items()}
-    row = [ratio[b.path] for b in found]
-    smooth: dict[str, float] = defaultdict(float)
+    row = [ratio[b.element.path] for b in found]
+    smooth: dict[int, float] = defaultdict(float)
+    prior = {}
     for i, block in enumerate(found):
         near = [(row[j], _WEIGHTS[abs(i - j)]) for j in range(max(0, i - SPAN), min(len(row), i + SPAN + 1))]
-        smooth[block.path] += sum(r * w for r, w in near) / sum(w for _, w in near)
-    return {path: (ratio[path] * smooth[path] / total[path][2]) ** 0.5 for path in ratio}
+        smooth[block.element.path] += sum(r * w for r, w in near) / sum(w for _, w in near)
+        prior[block.element.path] = block.element.prior
+    return {path: ratio[path] ** (1 - SMOOTH) * (smooth[path] / total[path][2]) ** SMOOTH * prior[path] for path in ratio}
 
 
-def _ancestors(element: Element | None) -> Iterator[Element]:
-    while element is not None:
-        yield element
-        element = element.parent
+def _content_element(root: Element, found: list[Block], content: list[int]) -> Element:
+    """The smallest element around all content blocks, or the article or main element that it is in."""
+    if not content:
+        return root
+    here = found[content[0]].element
+    if here.tag in _LEAVES and here.parent is not None:
+        here = here.parent.around
+    while here.parent is not None and not (here.start <= content[0] and content[-1] < here.end):
+        here = here.parent.around
+    widest = here
+    while here is not None:
+        if here.tag in ("article", "main"):
+            widest = here
+        here = here.parent
+    return widest
 
 
 def main_text(html: str | None) -> str:
     """The text of the content element's blocks, joined by two line ends."""
-    found = blocks(html or "")
+    root, found = blocks(html or "")
     texts = [" ".join("".join(b.parts).split()) for b in found]
-    kept = [(b, t) for b, t in zip(found, texts) if t]
-    if not kept:
-        return ""
-    found, texts = [b for b, _ in kept], [t for _, t in kept]
     scores = path_scores(found, texts)
-    mean = sum(scores.values()) / len(scores)
-    deviation = (sum((s - mean) ** 2 for s in scores.values()) / len(scores)) ** 0.5
-    threshold = min(SHARE * deviation, max(scores.values()))
-    weight: dict[Element, float] = defaultdict(float)
-    first: dict[Element, int] = {}
-    whole = 0.0
-    for i, (block, text) in enumerate(zip(found, texts)):
-        if scores[block.path] >= threshold:
-            gain = scores[block.path] * len(text)
-            whole += gain
-            for element in _ancestors(block.element):
-                weight[element] += gain
-                first.setdefault(element, i)
-    named = [e for e in weight if e.tag == "article"] or [e for e in weight if e.tag == "main"]
-    # the outermost of nested ones comes first among equals
-    depth = {e: sum(1 for _ in _ancestors(e)) for e in weight}
-    if named:
-        content = max(named, key=lambda e: (weight[e], -depth[e]))
-    else:
-        content = max((e for e in weight if weight[e] >= 0.9 * whole), key=lambda e: depth[e])
-    out = []
-    for block, text in zip(found, texts):
-        if content in _ancestors(block.element):
-            linked = block.linked > 0.8 * len(text)
-            if not (linked and scores[block.path] < threshold and block.element.tag not in _HEADINGS | {"p"}):
-                out.append(text)
-    return "\n\n".join(out)
+    weights = [b.element.prior * len(t) for b, t in zip(found, texts)]
+    mean = sum(scores[b.element.path] * w for b, w in zip(found, weights)) / max(1e-9, sum(weights))
+    reached = [bool(t) and scores[b.element.path] >= max(SHARE * mean, 1e-9) for b, t in zip(found, texts)]
+    content = [i for i, r in enumerate(reached) if r]
+    element = _content_element(root, found, content)
+    first, last = element.start, min(element.end, len(found))
+    chosen = []
+    for i in range(first, last):
+        block, text = found[i], texts[i]
+        plain = block.element.prior >= element.prior and (block.linked <= LINKED * len(text) or block.element.tag in _HEADINGS | {"p"})
+        if text and (reached[i] or plain):
+            chosen.append(i)
+    if chosen and not any(found[i].element.tag == "h1" for i in chosen):
+        chosen[:0] = next(([i] for i in range(first - 1, -1, -1) if texts[i] and found[i].element.tag == "h1" and found[i].element.prior >= element.prior), [])
+    return "\n\n".join(texts[i] for i in chosen)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

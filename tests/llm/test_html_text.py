@@ -1,3 +1,4 @@
+from sparkloom.llm import html_text
 from sparkloom.llm.html_text import extracted, main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><article>";</script></head><body class="has-sidebar">
@@ -8,7 +9,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_article_only():
-    assert main_text(PAGE) == "Title & more\n\nFirst line, second line.\n\nSecond block with <tags>.\n\none\n\ntwo"
+    assert main_text(PAGE) == "Title & more\n\nBy someone\n\nFirst line, second line.\n\nSecond block with <tags>.\n\none\n\ntwo"
 
 
 def test_without_article():
@@ -17,6 +18,57 @@ def test_without_article():
     assert main_text(page) == "\n\n".join([text.strip()] * 2)
 
 
+PROSE = "A sentence of some length, with a comma in it, and an end. " * 3
+
+
+def joined(*texts):
+    return "\n\n".join(t.strip() for t in texts)
+
+
+def test_names_alone_do_not_decide():
+    page = f"""<body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>{PROSE}</p><h2 id="discussion">Discussion</h2><p>{PROSE}</p>
+    <h2 id="related-work">Related work</h2><p>{PROSE}</p><section id="search-results"><p>{PROSE}</p></section><p class="alert">Mind this.</p></article>
+    <div class="ad">Buy it, now.</div></body>"""
+    assert main_text(page) == joined("T", PROSE, "Discussion", PROSE, "Related work", PROSE, PROSE, "Mind this.")
+
+
+def test_all_of_several_articles_and_what_stands_before_them():
+    page = f"<body><main><p>{PROSE}</p><article><header><h1>T</h1><p>A standfirst.</p></header><p>{PROSE}</p></article><article><p>Short, but prose of some length here.</p></article></main></body>"
+    assert main_text(page) == joined(PROSE, "T", "A standfirst.", PROSE, "Short, but prose of some length here.")
+    assert main_text(page.replace("main>", "div>")) == main_text(page)
+
+
+def test_short_blocks_beside_a_long_one():
+    page = f"<body><div><h1>T</h1><p>{PROSE * 10}</p><p>Short.</p><ul><li>one</li></ul></div><footer>End, of it.</footer></body>"
+    assert main_text(page) == joined("T", PROSE * 10, "Short.", "one")
+    page = f"<body><h1>T</h1><div class=text><p>{PROSE}</p><p>{PROSE}</p></div><div class=sidebar><p>{PROSE}</p></div></body>"
+    assert main_text(page) == joined("T", PROSE, PROSE)
+
+
+def test_comments_longer_than_the_article():
+    page = f"<article><p>{PROSE}</p><div class=post-comments>" + f"<p>{PROSE}</p>" * 9 + "</div></article>"
+    assert main_text(page) == PROSE.strip()
+
+
+def test_scores_decide(monkeypatch):
+    page = f"<body><nav><a href=a>x</a></nav><div>Some words.</div><div><p>{PROSE}</p><p>{PROSE}</p></div><div>More words.</div></body>"
+    assert main_text(page) == joined(PROSE, PROSE)
+    monkeypatch.setattr(html_text, "path_scores", lambda found, texts: {b.element.path: 1.0 for b in found})
+    assert main_text(page) == joined("x", "Some words.", PROSE, PROSE, "More words.")
+
+
+def test_deep_nesting_is_linear():
+    import time
+
+    for tag in ("<div>x", "<p><b>x", "<ul><li>x"):
+        times = []
+        for n in (5_000, 20_000):
+            began = time.process_time()
+            assert main_text(tag * n).count("x") == n
+            times.append(time.process_time() - began)
+        assert times[1] < 8 * times[0] + 0.1
+
+
 def test_odd_input():
     assert [main_text(x) for x in (None, "", "   ", "<p></p>", "<script>x", "<!-- open")] == [""] * 6
     assert main_text("just text & more") == "just text & more"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evidence, normalize, vectors
+from sparkloom.operators import embedding, evidence, normalize, vectors
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
@@ -172,6 +172,12 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("key", vectors.text_key(F.col("text"))).join(added, "key").select("doc_id", F.col("vector")[0].alias("a"), F.col("vector")[3].alias("t"), "added")
 
 
+@query("neighbour_map")
+def neighbour_map(spark: SparkSession, d: str) -> DataFrame:
+    """Iterative: no SQL; tested on clusters that the first components do not part."""
+    return embedding.neighbour_map(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
 @query("pca_2d")
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     return vectors.two_dimensions(table(spark, d, "embeddings"), "embedding").select("vec_id", "x", "y")

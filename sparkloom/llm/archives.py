@@ -184,7 +184,10 @@ def _put(path: str, data: bytes) -> None:
 def _digests(pages: DataFrame) -> DataFrame:
     """page_id, url, payload, digest, n of each row of ``pages``."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
+        F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n"),
+    )
 
 
 def _records(rows: DataFrame, root: str, package_bytes: int, among=None) -> DataFrame:

@@ -261,7 +261,12 @@ def formatted(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
         out = pieces(t.column("given").to_numpy(), t.column("text").to_pylist(), costs, state, last)
         action, role, inserted, cost, rendered = zip(*out)
         position = pa.array(np.arange(first, first + len(out)))
-        return pa.table({"conv_id": t.column("conv_id"), "turn": t.column("turn"), "position": position, "action": pa.array(action), "role": pa.array(role), "inserted": pa.array(inserted), "cost": pa.array(cost, pa.int64()), "rendered": pa.array(rendered)})
+        return pa.table(
+            {
+                "conv_id": t.column("conv_id"), "turn": t.column("turn"), "position": position, "action": pa.array(action), "role": pa.array(role),
+                "inserted": pa.array(inserted), "cost": pa.array(cost, pa.int64()), "rendered": pa.array(rendered),
+            }
+        )
 
     def whole(t: pa.Table) -> pa.Table:
         return repaired(t, 0, _BEGIN, None, True)

@@ -201,7 +201,9 @@ def grouped(docs: DataFrame, percent: int, rows: int, bands: int, block: int, ro
     held: list[str] = []
     signed = stage(signatures(docs, rows, bands, row), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min(place).alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(
+        F.min(place).alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets")
+    )
     nodes = stage(nodes, "nodes", held)
     every = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = stage(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "shared", held)

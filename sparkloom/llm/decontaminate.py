@@ -115,10 +115,10 @@ class Index:
             for part in units_of(text):
                 self.units.append(n)
                 unit_words.append(part)
-        #: the least number of its trigrams that a passage has to hold for an item to be looked for there: what its
-        #: verification needs, with a margin for items over several passages
+        #: the least number of its trigrams that a passage has to hold for an item to be looked for there: half of what its
+        #: verification needs, as the words around the passage count as well
         self.needs = [
-            max(1, min(MOST_NEEDED, math.ceil(QUESTION * len(q)) + math.ceil(ANSWER * len(a)), math.ceil(TOGETHER * (len(q) + len(a)))))
+            max(1, min(MOST_NEEDED, min(math.ceil(QUESTION * len(q)) + math.ceil(ANSWER * len(a)), math.ceil(TOGETHER * (len(q) + len(a)))) // 2))
             for q, a in zip(self.questions, self.answers)
         ]
         self.needed = min(self.needs, default=1)

@@ -84,8 +84,8 @@ def brute(docs, items):
                 if score < d.THRESHOLD - 1e-9 or found.get((row, n), (0,))[0] >= score - 1e-9:
                     continue
                 question, answer = map(d.grams, d.question_and_answer(items[n][1]))
-                need = min(d.MOST_NEEDED, d.math.ceil(d.QUESTION * len(question)) + d.math.ceil(d.ANSWER * len(answer)), d.math.ceil(d.TOGETHER * (len(question) + len(answer))))
-                if len(question & here) + len(answer & here) < max(1, need):
+                need = min(d.math.ceil(d.QUESTION * len(question)) + d.math.ceil(d.ANSWER * len(answer)), d.math.ceil(d.TOGETHER * (len(question) + len(answer))))
+                if len(question & here) + len(answer & here) < max(1, min(d.MOST_NEEDED, need // 2)):
                     continue
                 reach = len(question) + len(answer) + 2 * d.NGRAM
                 around = d.grams(words[max(0, s - reach) : s + d.PASSAGE + reach])

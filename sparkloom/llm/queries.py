@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import archives, block_search, bpe, chat, decontaminate, html_text, near_dedup, secrets, sharding, toxicity
+from sparkloom.llm import archives, block_search, bpe, chat, decontaminate, html_text, near_dedup, secrets, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(_table(spark, sf_dir, "documents"), token_counts.read_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

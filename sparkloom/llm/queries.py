@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import archives, block_search, bpe, chat, decontaminate, filter_audit, html_text, near_dedup, secrets, sharding, token_counts, toxicity
+from sparkloom.llm import archives, block_search, bpe, chat, decontaminate, filter_audit, html_text, importance, near_dedup, secrets, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -75,4 +79,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": near_dedup.ORACLE, "op7_warc_zip": archives.ORACLE, "op9_block_search": block_search.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
+    return {"op3_near_dedup": near_dedup.ORACLE, "op7_warc_zip": archives.ORACLE, "op9_block_search": block_search.ORACLE, "op11_importance": importance.ORACLE, "op12_filter_audit": filter_audit.ORACLE}

@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -30,10 +30,13 @@ from sparkloom.llm.common import bounded_batches, kept_by, slices
 
 #: Tokens beyond which a document is over the limit.
 LIMIT = 1024
-#: Runs of at most so many characters whose counts a worker keeps, and how many before the oldest half goes.
-KEPT_LENGTH, KEPT_RUNS = 64, 150_000
+#: Texts of at most so many characters whose counts a worker keeps, and how many in a generation.
+KEPT_LENGTH, KEPT = 64, 200_000
 #: Characters that the runs of a text are taken from at a time.
 _SOME = 1 << 20
+#: Bits of a symbol in a pair, and of a place in an entry of the heap.
+_SYMBOL, _PLACE = 20, 40
+_SYMBOLS, _PLACES = (1 << _SYMBOL) - 1, (1 << _PLACE) - 1
 #: Fixed value: the pattern by which byte-level tokenizers cut a text, white space being the Unicode property.
 PIECES = WORDWISE.replace(r"[^\s", "[^" + SPACES).replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
 
@@ -47,48 +50,75 @@ def byte_symbols() -> list[str]:
 
 
 class Merges:
-    """The merges of a byte-level BPE file, and the count of a piece under them."""
+    """The merges of a byte-level BPE file, and the count of a piece under them. Symbols are vocabulary numbers; a pair is one
+    number with its left symbol in the high bits, and so is what a pair becomes, with the rank above the new symbol."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list) -> None:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        if len(pairs) >> _SYMBOL or max(vocabulary.values()) >> _SYMBOL:
+            raise ValueError("more symbols than a pair has room for")
         self.start = [vocabulary[c] for c in byte_symbols()]
-        #: by a pair's symbols, (rank, symbol it becomes)
-        self.ranked = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranked = {vocabulary[a] << _SYMBOL | vocabulary[b]: rank << _SYMBOL | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)}
 
     def count(self, piece: bytes) -> int:
         symbol = list(map(self.start.__getitem__, piece))
-        n, ranked = len(symbol), self.ranked
-        heap = [(*found, at, at + 1) for at, pair in enumerate(zip(symbol, symbol[1:], strict=False)) if (found := ranked.get(pair))]
+        n, ranked = len(symbol), self.ranked.get
+        # entries of the heap: rank, then place of the left symbol
+        heap, at, left = [], -1, -1
+        for right in symbol:
+            if at >= 0 and (found := ranked(left << _SYMBOL | right)) is not None:
+                heap.append(found >> _SYMBOL << _PLACE | at)
+            at, left = at + 1, right
         if not heap:
             return n
         heapify(heap)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        merged = 0
+        after, before, merged = list(range(1, n + 1)), list(range(-1, n - 1)), 0
         while heap:
-            rank, new, left, right = heappop(heap)
-            # a symbol that has left the list is None; one that has grown since forms other pairs
-            if symbol[left] is None or after[left] != right or ranked.get((symbol[left], symbol[right])) != (rank, new):
+            entry = heappop(heap)
+            at = entry & _PLACES
+            right = after[at]
+            # a place whose symbol has left the list holds -1, and one whose pair has changed since has another rank
+            if symbol[at] < 0 or right == n or (found := ranked(symbol[at] << _SYMBOL | symbol[right])) is None or found >> _SYMBOL != entry >> _PLACE:
                 continue
-            symbol[left], symbol[right] = new, None
-            beyond = after[left] = after[right]
+            new = symbol[at] = found & _SYMBOLS
+            symbol[right] = -1
             merged += 1
+            beyond = after[at] = after[right]
             if beyond < n:
-                before[beyond] = left
-                if found := ranked.get((new, symbol[beyond])):
-                    heappush(heap, (*found, left, beyond))
-            if (back := before[left]) >= 0 and (found := ranked.get((symbol[back], new))):
-                heappush(heap, (*found, back, left))
+                before[beyond] = at
+                if (found := ranked(new << _SYMBOL | symbol[beyond])) is not None:
+                    heappush(heap, found >> _SYMBOL << _PLACE | at)
+            back = before[at]
+            if back >= 0 and (found := ranked(symbol[back] << _SYMBOL | new)) is not None:
+                heappush(heap, found >> _SYMBOL << _PLACE | back)
         return n - merged
 
 
-class Counter(dict):
-    """Token counts of texts. As a dictionary, those of runs between lone spaces, keyed without the space before them; in two
-    generations, of which the older one goes when the newer one is full."""
+class Kept(dict):
+    """Counts by text, worked out when first asked for, of short texts in two generations: a full one becomes the older one."""
+
+    def __init__(self, count: Callable[[str], int]) -> None:
+        super().__init__()
+        self.count, self.old = count, {}
+
+    def __missing__(self, text: str) -> int:
+        count = self.old.get(text)
+        if count is None:
+            count = self.count(text)
+        if len(text) <= KEPT_LENGTH:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[text] = count
+        return count
+
+
+class Counter:
+    """Token counts of texts, as the library has them for the tokenizer of ``file``."""
 
     def __init__(self, file: bytes) -> None:
         import regex
 
-        super().__init__()
         told = json.loads(file)
         odd = [t["content"] for t in told["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
         cut = told["pre_tokenizer"] or {}
@@ -97,29 +127,25 @@ class Counter(dict):
         self.merges = Merges(told["model"]["vocab"], told["model"]["merges"])
         added = sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.pieces = regex.compile(PIECES)
+        self.split = regex.compile(PIECES)
         self.lone = re.compile(f"(?<![{SPACES}]) (?![{SPACES}])")
         self.letter, self.number = regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
         self.own_cut = None
         self.alike: set[str] = set()  # characters that the pattern and the library class alike
         self.apart: set[str] = set()  # and those that they do not
-        self.old: dict[str, int] = {}
+        self.pieces = Kept(lambda piece: self.merges.count(piece.encode()))
+        #: runs between lone spaces, keyed without the space before them
+        self.runs = Kept(self._run)
 
-    def __missing__(self, run: str) -> int:
-        count = self.old.get(run)
-        if count is None:
-            # a run of settled letters is one piece
-            count = self.merges.count(b" " + run.encode()) if run.isalpha() and max(run) < LATIN else self.cut(" " + run)
-        if len(run) <= KEPT_LENGTH:
-            if len(self) >= KEPT_RUNS:
-                self.old = dict(self)
-                self.clear()
-            self[run] = count
-        return count
+    def _run(self, run: str) -> int:
+        # a run of settled letters is one piece
+        return self.merges.count(b" " + run.encode()) if run.isalpha() and max(run) < LATIN else self.cut(" " + run)
 
     def cut(self, text: str) -> int:
         """The count of a text by its pieces."""
-        return sum(self.merges.count(m.group().encode()) for m in self.pieces.finditer(text))
+        if len(text) <= _SOME:
+            return sum(map(self.pieces.__getitem__, self.split.findall(text)))
+        return sum(self.pieces[m.group()] for m in self.split.finditer(text))
 
     def _classed(self, text: str) -> bool:
         """Whether the pattern takes all characters of ``text`` for what the library takes them for: their versions of Unicode
@@ -143,17 +169,14 @@ class Counter(dict):
         """The count of a text without added tokens."""
         if not text.isascii() and not self._classed(text):
             return sum(self.merges.count(text[a:b].encode()) for _, (a, b) in self.own_cut(text))
-        if len(text) <= _SOME:
-            head, *runs = self.lone.split(text)
-            return self.cut(head) + sum(map(self.__getitem__, runs))
-        total, at = 0, 0
-        for m in self.lone.finditer(text):
-            if m.start() - at >= _SOME:
-                head, *runs = self.lone.split(text[at : m.start()])
-                total += (self[head] if at else self.cut(head)) + sum(map(self.__getitem__, runs))
-                at = m.end()
-        head, *runs = self.lone.split(text[at:])
-        return total + (self[head] if at else self.cut(head)) + sum(map(self.__getitem__, runs))
+        # stretches of whole runs, so that a very long text is not cut up at once
+        total, at, first = 0, 0, self.cut
+        while at <= len(text):
+            found = self.lone.search(text, at + _SOME) if len(text) - at > _SOME else None
+            head, *runs = self.lone.split(text[at : found.start()] if found else text[at:] if at else text)
+            total += first(head) + sum(map(self.runs.__getitem__, runs))
+            at, first = (found.end() if found else len(text) + 1), self.runs.__getitem__
+        return total
 
     def count(self, text: str) -> int:
         if self.added is None or not self.added.search(text):

@@ -13,7 +13,7 @@ from sparkloom import scratch
 from sparkloom.operators import align, browse, jobs, structdiff, triggers
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
-from sparkloom.sources import dumps, pages, rules, sheets, sinks
+from sparkloom.sources import dumps, objects, pages, rules, sheets, sinks
 
 
 def _uri(path: str) -> str:
@@ -25,8 +25,8 @@ def _nations(spark: SparkSession, d: str) -> list[tuple[int, str, int]]:
     return [tuple(r) for r in table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]
 
 
-def _customers(spark: SparkSession, d: str) -> DataFrame:
-    """A dump of entries with a post for each order, as JSON lines."""
+def _customers(spark: SparkSession, d: str, as_objects: bool = False) -> DataFrame:
+    """A dump of entries with a post for each order, as JSON lines or as objects."""
     post = F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderkey").cast("string").alias("tweet_id"), F.col("o_orderpriority").alias("text"))
     posts = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(post)).alias("twitter"))
     rows = table(spark, d, "customer").join(posts, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -35,20 +35,37 @@ def _customers(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 3 == 0, F.col("c_name")).alias("Label"), F.when(k % 3 != 0, F.col("c_name")).alias("label"), F.when(k % 2 == 0, "o").otherwise("p").alias("ent_type"),
         F.col("c_mktsegment").alias("verband"), F.struct("twitter").alias("social_media"),
     )
+    if as_objects:
+        path = scratch.new_path(spark, "dump")
+        objects.write(rows.select(F.concat(F.lit("c"), k.cast("string")).alias("entry_id"), F.to_json(entry).alias("entry")), path)
+        return dumps.entries(spark, path)
     path = scratch.new_path(spark, "dump") + ".jsonl"
     rows.select(F.to_json(F.struct(F.concat(F.lit("c"), k.cast("string")).alias("entry_id"), entry.alias("entry")))).write.text(path)
     return dumps.entries(spark, path)
 
 
-@query("dump_posts", """
+_DUMP_POSTS = """
 SELECT 'c' || c_custkey AS entry_id, c_name AS label, CASE WHEN c_custkey % 2 = 0 THEN 'o' ELSE 'p' END AS ent_type, c_mktsegment AS verband, 'twitter' AS platform,
   CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS ordinal, CAST(o_orderkey AS VARCHAR) AS post_id, o_orderpriority AS text
-FROM orders JOIN customer ON o_custkey = c_custkey""")
-def dump_posts(spark: SparkSession, d: str) -> DataFrame:
-    raw = dumps.raw_posts(_customers(spark, d))
+FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+def _dump_posts(dump: DataFrame) -> DataFrame:
+    raw = dumps.raw_posts(dump)
     return raw.select("entry_id", "label", "ent_type", "verband", "platform", "ordinal", F.try_variant_get("raw", "$.tweet_id", "string").alias("post_id"), F.try_variant_get("raw", "$.text", "string").alias("text"))
 
 
+@query("dump_posts", _DUMP_POSTS)
+def dump_posts(spark: SparkSession, d: str) -> DataFrame:
+    return _dump_posts(_customers(spark, d))
+
+
+@query("dump_object_posts", _DUMP_POSTS)
+def dump_object_posts(spark: SparkSession, d: str) -> DataFrame:
+    """The same posts out of files of one JSON object each, which are read by ranges of bytes."""
+    return _dump_posts(_customers(spark, d, as_objects=True))
+
+
 @query("dump_labels", "SELECT DISTINCT c_name AS label FROM customer WHERE c_custkey % 2 = 1")
 def dump_labels(spark: SparkSession, d: str) -> DataFrame:
     return dumps.labels_of(_customers(spark, d), "p")

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from sparkloom.sources import objects
+
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """entry_id, entry (VARIANT) of a dump. A file is one JSON object and is read by one task; large dumps come as JSON lines of
-    {"entry_id": ..., "entry": ...} in any number of files (``path`` ends with .jsonl), which are split."""
+    """entry_id, entry (VARIANT) of a dump: files of one JSON object each, or (``path`` ends with .jsonl) JSON lines of
+    {"entry_id": ..., "entry": ...}. Both are split into ranges of bytes."""
     if path.rstrip("/").endswith(".jsonl"):
         lines = spark.read.text(path).select(F.parse_json("value").alias("v"))
         return lines.select(F.try_variant_get("v", "$.entry_id", "string").alias("entry_id"), F.try_variant_get("v", "$.entry", "variant").alias("entry"))
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,variant>").alias("m"))
-    return whole.select(F.explode("m").alias("entry_id", "entry"))
+    return objects.entries(spark, path)
 
 
 def raw_posts(dump: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from sparkloom import scratch
 from sparkloom.operators import align, browse, jobs, structdiff, triggers
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
-from sparkloom.sources import dumps, objects, pages, rules, sheets, sinks
+from sparkloom.sources import dumps, objects, pages, rules, sheets, sinks, versions
 
 
 def _uri(path: str) -> str:
@@ -212,6 +212,28 @@ def export_names(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([made(k, region) for k, _, region in _nations(spark, d)], "name string, refused boolean")
 
 
+@query("published_concurrently", """
+SELECT 'customers' AS name, c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'suppliers', s_suppkey FROM supplier UNION ALL SELECT 'parts', p_partkey FROM part WHERE p_partkey % 3 = 0""")
+def published_concurrently(spark: SparkSession, d: str) -> DataFrame:
+    """Publishers that began with the same state: those of different tables all count, the second one of a table does not, nor
+    one that has read a table published meanwhile."""
+    root = scratch.new_path(spark, "published")
+    c, s, p = (table(spark, d, t) for t in ("customer", "supplier", "part"))
+    sinks.publish_all(spark, {"customers": c, "suppliers": s.limit(0)}, root)
+    base = sinks.versions(spark, root)[0]
+    sinks.publish_all(spark, {"suppliers": s}, root, base)
+    sinks.publish_all(spark, {"customers": c.filter("c_custkey % 2 = 0")}, root, base)
+    sinks.publish_all(spark, {"parts": p.filter("p_partkey % 3 = 0")}, root, base)
+    for tables, reads in (({"customers": c.limit(0)}, ()), ({"parts": p.limit(0)}, ("suppliers",))):
+        try:
+            sinks.publish_all(spark, tables, root, base, reads)
+        except versions.Conflict:
+            continue
+        raise AssertionError("a conflict was not seen")
+    found = [sinks.current(spark, root, n).select(F.lit(n).alias("name"), F.col(k).alias("id")) for n, k in (("customers", "c_custkey"), ("suppliers", "s_suppkey"), ("parts", "p_partkey"))]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 @query("published_tables", "SELECT 'customers' AS name, c_custkey AS id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'suppliers', s_suppkey FROM supplier")
 def published_tables(spark: SparkSession, d: str) -> DataFrame:
     """Two tables are published, then one anew; a job that fails between its tables in the end leaves no trace."""

@@ -1,16 +1,14 @@
-"""Writers: exports, run logs, and versions of tables that are published at once."""
+"""Writers: exports and run logs; versions of tables are published by ``versions``."""
 
 from __future__ import annotations
 
 import json
-import time
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.scratch import delete, put
 from sparkloom.sources import sheets
+from sparkloom.sources.versions import current, publish, publish_all, versions  # noqa: F401  part of this interface
 
 FORMATS = ("csv", "xlsx")
 
@@ -45,55 +43,6 @@ def ledger(rows: dict[str, dict], path: str) -> None:
         f.write(ledger_text(rows))
 
 
-def publish_all(spark: SparkSession, tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Writes a new version of each table beside the old ones and then one list of versions, under a new name that sorts behind all others:
-    readers see all of the new tables or none, and at no moment nothing. Tables that aren't given keep their version. If a
-    table can't be written, those written before it are removed and no list is."""
-    root, places = root.rstrip("/"), {}
-    held = versions(spark, root)
-    try:
-        for name, df in tables.items():
-            place = "/".join(x for x in (root, name, f"v-{uuid.uuid4().hex}") if x)
-            places[name] = place
-            df.write.parquet(place)
-        at, temporary = f"{max(time.time_ns(), held[0] + 1):020d}", f"{root}/_versions/.{uuid.uuid4().hex}"
-        put(spark, temporary, json.dumps(held[1] | places))
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        system = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not system.rename(path(temporary), path(f"{root}/_versions/{at}-{uuid.uuid4().hex}")):
-            raise OSError(f"the new versions in {root} could not be listed")
-    except BaseException:
-        for place in places.values():
-            delete(spark, place)
-        raise
-    return places
-
-
-def publish(df: DataFrame, root: str) -> str:
-    """A new version of a single table."""
-    return publish_all(df.sparkSession, {"": df}, root)[""]
-
-
-def versions(spark: SparkSession, root: str) -> tuple[int, dict[str, str]]:
-    """(when, the place of each table) by the newest list; (0, {}) before the first one."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    folder = path(f"{root.rstrip('/')}/_versions")
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not system.exists(folder):
-        return 0, {}
-    names = sorted(f.getPath().getName() for f in system.listStatus(folder))
-    names = [n for n in names if not n.startswith(".")]
-    if not names:
-        return 0, {}
-    return int(names[-1].split("-")[0]), json.loads(spark.read.text(f"{root.rstrip('/')}/_versions/{names[-1]}", wholetext=True).first()["value"])
-
-
-def current(spark: SparkSession, root: str, name: str = "") -> DataFrame | None:
-    """The version of a table that was published last; None before the first one."""
-    place = versions(spark, root)[1].get(name)
-    return None if place is None else spark.read.parquet(place)
-
-
 def log_run(spark: SparkSession, path: str, operation: str, source: str, success: bool, changes: dict | None = None, notes: str = "") -> None:
     """Appends a row to the table of runs."""
     row = [(operation, source, success, json.dumps(changes, ensure_ascii=False) if changes is not None else None, notes)]

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import scratch
 from sparkloom.functions import text as fx
-from sparkloom.operators import evidence, redaction, search
+from sparkloom.operators import evidence, redaction, search, segments
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
 
 
-#: The search index of each session and folder: written once, as it would be kept beside the tables.
-_indexes: dict[tuple[str, str], str] = {}
-
-
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        path = scratch.new_path(spark, "index")
-        search.rebuild_index(table(spark, d, "documents"), "doc_id", "text", path)
-        _indexes[key] = path
-    return spark.read.parquet(_indexes[key])
+    """The search index, built anew: it would be kept beside the tables, but none is supplied."""
+    path = scratch.new_path(spark, "index")
+    search.rebuild_index(table(spark, d, "documents"), "doc_id", "text", path)
+    return spark.read.parquet(path)
 
 
 @query("clean_topic_text", r"""
@@ -71,6 +67,34 @@ def search_query(spark: SparkSession, d: str) -> DataFrame:
     return search.search_by_index(_index(spark, d), "doc_id", '"of the" -idiot was | from wi*', cap=None)
 
 
+_SEGMENT_QUERIES = {"a": "amended -x", "b": '"amended entry"', "c": "x was | from", "d": "of", "e": "wi* a -entry"}
+
+
+@query("search_segments", r"""
+WITH judged AS (SELECT doc_id, max(toxic = 1) AS toxic, max(quality = 1) AS good FROM labels GROUP BY doc_id),
+now AS (SELECT d.doc_id, CASE WHEN toxic THEN d.text || ' amended entry' ELSE d.text END AS t FROM documents d LEFT JOIN judged USING (doc_id) WHERE good IS NULL OR good OR toxic),
+redacted AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\bidiot\b', '[X]', 'g'), '(?i)\bof\b', '[A]', 'g') AS t FROM now),
+w AS (SELECT doc_id, regexp_split_to_array(lower(t), '[^a-z0-9_]+') AS w, ' ' || array_to_string(regexp_split_to_array(lower(t), '[^a-z0-9_]+'), ' ') || ' ' AS s FROM redacted)
+SELECT 'a' AS query, doc_id FROM w WHERE list_contains(w, 'amended') AND NOT list_contains(w, 'x')
+UNION ALL SELECT 'b', doc_id FROM w WHERE contains(s, ' amended entry ')
+UNION ALL SELECT 'c', doc_id FROM w WHERE list_contains(w, 'x') AND (list_contains(w, 'was') OR list_contains(w, 'from'))
+UNION ALL SELECT 'd', doc_id FROM w WHERE list_contains(w, 'of')
+UNION ALL SELECT 'e', doc_id FROM w WHERE len(list_filter(w, lambda x: starts_with(x, 'wi'))) > 0 AND list_contains(w, 'a') AND NOT list_contains(w, 'entry')""")
+def search_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Searches of redacted texts after documents were amended and removed and a rule was added: each a segment of the index."""
+    root, docs = scratch.new_path(spark, "segments"), table(spark, d, "documents").select("doc_id", "text")
+    old = [redaction.Rule("idiot", "[X]")]
+    segments.add(redaction.redact_posts(docs, "text", old, key="doc_id"), "doc_id", "text", root)
+    judged = table(spark, d, "labels").groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"), F.max(F.col("quality") == 1).alias("good"))
+    known = docs.join(judged, "doc_id", "left")
+    kept = known.filter("good IS NULL OR good OR toxic").select("doc_id", F.when(F.col("toxic"), F.concat("text", F.lit(" amended entry"))).otherwise(F.col("text")).alias("text"), "toxic")
+    segments.add(redaction.redact_posts(kept.filter("toxic"), "text", old, key="doc_id"), "doc_id", "text", root, known.filter("NOT good AND NOT toxic").select("doc_id"))
+    segments.add(segments.redaction_changes(kept.select("doc_id", "text"), "text", "doc_id", old, [*old, redaction.Rule("of", "[A]")]), "doc_id", "text", root)
+    segments.compact(spark, root, "doc_id", fan=2)
+    found = [search.search_by_index(segments.read(spark, root, "doc_id"), "doc_id", q, cap=None).select(F.lit(n).alias("query"), "doc_id") for n, q in _SEGMENT_QUERIES.items()]
+    return functools.reduce(DataFrame.unionAll, found)
+
+
 # the other engine's \w is ASCII: its words are spelled out here
 @query("token_counts", "WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}\\x{200C}\\x{200D}]+')) AS token FROM documents) SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM t WHERE token <> '' GROUP BY token")
 def token_counts(spark: SparkSession, d: str) -> DataFrame:

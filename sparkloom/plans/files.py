@@ -6,7 +6,7 @@ import json
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import scratch
@@ -332,17 +332,20 @@ def position_overrides(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("structural_diff", """
-SELECT '- /' || n_name || ' : "label ' || n_nationkey || '"' AS line FROM nation WHERE n_nationkey % 3 = 0
-UNION ALL SELECT '~ /' || n_name || '/region : ' || n_regionkey || ' -> ' || (n_regionkey + 1) FROM nation WHERE n_nationkey % 3 = 1
-UNION ALL SELECT '~ /' || n_name || '/posts[id=' || n_nationkey || ']/n : 1 -> 2' FROM nation WHERE n_nationkey % 3 = 2
-UNION ALL SELECT '+ /' || n_name || '/posts[] : {"b": "ü", "k": ' || n_nationkey || '}' FROM nation WHERE n_nationkey % 3 = 2""")
+SELECT '- /' || c_name || ' : "label ' || c_custkey || '"' AS line FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT '~ /' || c_name || '/region : ' || c_nationkey || ' -> ' || (c_nationkey + 1) FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT '~ /' || c_name || '/posts[id=' || c_custkey || ']/n : 1 -> 2' FROM customer WHERE c_custkey % 3 = 2
+UNION ALL SELECT '+ /' || c_name || '/posts[] : {"b": "ü", "k": ' || c_custkey || '}' FROM customer WHERE c_custkey % 3 = 2""")
 def structural_diff(spark: SparkSession, d: str) -> DataFrame:
-    before, after = {}, {}
-    for k, name, region in _nations(spark, d):
-        entry = {"label": f"label {k}", "region": region, "posts": [{"id": k, "t": "same", "n": 1}, "s"]}
-        before[name] = entry
-        if k % 3 == 1:
-            after[name] = entry | {"region": region + 1, "posts": entry["posts"][::-1]}
-        elif k % 3 == 2:
-            after[name] = entry | {"posts": ["s", {"k": k, "b": "ü"}, {"id": k, "t": "same", "n": 2}]}
-    return spark.createDataFrame([(line,) for line in structdiff.diff(before, after)], "line string")
+    """Two dumps with an entry for each customer, of which some are gone, some have another region and lists in another order, and some
+    have a changed post and a further one."""
+    k = F.col("c_custkey")
+
+    def entry(rows: DataFrame, region: Column, posts: str) -> DataFrame:
+        text = F.concat(F.lit('{"label": "label '), k, F.lit('", "region": '), region, F.lit(', "posts": ['), F.replace(F.lit(posts), F.lit("#"), k.cast("string")), F.lit("]}"))
+        return rows.select(F.col("c_name").alias("entry_id"), F.parse_json(text).alias("entry"))
+
+    rows, region = table(spark, d, "customer"), F.col("c_nationkey")
+    before = entry(rows, region, '{"id": #, "t": "same", "n": 1}, "s"')
+    moved = entry(rows.filter(k % 3 == 1), region + 1, '"s", {"n": 1, "id": #, "t": "same"}')
+    return structdiff.diff(before, moved.unionAll(entry(rows.filter(k % 3 == 2), region, '"s", {"k": #, "b": "ü"}, {"id": #, "t": "same", "n": 2}')))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,17 +95,34 @@ def test_alignment(spark):
     assert replaced.first().label == "MdB" and {(r.role, r.level) for r in both.collect()} == {("Sprecher*in", None), ("Abgeordnete*r", "AfD-Bundespartei")}
 
 
-def test_structural_diff():
-    a = {"x": [1, {"k": 1, "l": 2}, 3], "y": "s", "z": {"label": "gone", "n": 1}}
-    b = {"x": [3, {"k": 1, "l": 5}, 1], "y": "t", "w": None}
-    assert list(structdiff.diff(a, b)) == ["+ /w", "~ /x[]/l : 2 -> 5", '~ /y : "s" -> "t"', '- /z : "gone"'] and list(structdiff.diff(a, a)) == []
+def difference(spark, a, b):
+    dumps = [spark.createDataFrame([(k, json.dumps(v)) for k, v in d.items()], "entry_id string, j string").select("entry_id", F.parse_json("j").alias("entry")) for d in (a, b)]
+    return sorted(r.line for r in structdiff.diff(*dumps).collect())
+
+
+def test_structural_diff(spark):
+    a = {"x": [1, {"k": 1, "l": 2}, 3], "y": "s", "z": {"label": "gone", "n": 1}, "same": {"b": [1, 2], "a": None}}
+    b = {"x": [3, {"k": 1, "l": 5}, 1], "y": "t", "w": None, "same": {"a": None, "b": [2, 1]}}
+    assert difference(spark, a, b) == sorted(["+ /w", "~ /x[]/l : 2 -> 5", '~ /y : "s" -> "t"', '- /z : "gone"']) and difference(spark, a, a) == []
 
 
-def test_structural_diff_of_named_elements():
+def test_structural_diff_of_named_elements(spark):
     a = {"p": {"posts": [{"id": 1, "t": "a", "n": 1}, {"id": 2, "t": "b", "label": "B"}, "s"], "m": 1}}
     b = {"p": {"posts": ["u", {"id": 1, "t": "a", "n": 9}, {"id": 3, "t": "c"}], "o": [2]}}
     # 2 and 3 share no entry, so they are one gone and one new
-    assert list(structdiff.diff(a, b)) == ["- /p/m : 1", "+ /p/o : [2]", "~ /p/posts[id=1]/n : 1 -> 9", '- /p/posts[id=2] : "B"', '- /p/posts[] : "s"', '+ /p/posts[] : "u"', "+ /p/posts[id=3]"]
+    assert difference(spark, a, b) == sorted(["- /p/m : 1", "+ /p/o : [2]", "~ /p/posts[id=1]/n : 1 -> 9", '- /p/posts[id=2] : "B"', '- /p/posts[] : "s"', '+ /p/posts[] : "u"', "+ /p/posts[id=3]"])
+
+
+def test_structural_diff_of_lists_and_odd_values(spark):
+    a = {"l": [[1, 2], [3], {"a": 1, "b": 1}, {"a": 1, "c": 2}, "x", "x", "ü \" : ,"], "o": {"k": {"deep": [{"n": [1]}]}}, "t": {"v": [1]}, "u": {"label": None}}
+    b = {"l": [{"a": 1, "b": 2}, [1, 5], "x"], "o": {"k": {"deep": [{"n": [1], "m": 2}]}}, "t": {"v": {"a": 1}}}
+    want = [
+        "+ /l[][] : 5", "- /l[][] : 3",  # the later lists belong together
+        "- /l[] : [1, 2]", "~ /l[]/b : 1 -> 2", '- /l[] : {"a": 1, "c": 2}', '- /l[] : "x"', '- /l[] : "ü \\" : ,"',
+        "+ /o/k/deep[]/m : 2", '~ /t/v : [1] -> {"a": 1}', "- /u",
+    ]
+    want = [*want, "+ /l[][] : 1"]
+    assert difference(spark, a, b) == sorted(want)
 
 
 def test_display_and_layout(spark):

@@ -50,11 +50,46 @@ def test_comments_longer_than_the_article():
     assert main_text(page) == PROSE.strip()
 
 
-def test_scores_decide(monkeypatch):
-    page = f"<body><nav><a href=a>x</a></nav><div>Some words.</div><div><p>{PROSE}</p><p>{PROSE}</p></div><div>More words.</div></body>"
-    assert main_text(page) == joined(PROSE, PROSE)
-    monkeypatch.setattr(html_text, "path_scores", lambda found, texts: {b.element.path: 1.0 for b in found})
-    assert main_text(page) == joined("x", "Some words.", PROSE, PROSE, "More words.")
+def test_ratios_decide(monkeypatch):
+    """With the same page in the same tags, where the prose is decides; names do not: with all ratios equal, everything is content."""
+    page = f"<body><div class=box>Some words.</div><div><p>{PROSE * 8}</p><p>{PROSE * 8}</p></div><nav>More words.</nav></body>"
+    assert main_text(page) == joined(PROSE * 8, PROSE * 8)
+    # prose below names that speak against it, and a short line below none
+    page = f"<body><div>Some words.</div><div class=promo><p>{PROSE * 8}</p><p>{PROSE * 8}</p></div><div>More words.</div></body>"
+    assert main_text(page) == joined(PROSE * 8, PROSE * 8)
+    monkeypatch.setattr(html_text, "path_scores", lambda found, texts: {b.element.path: b.element.prior for b in found})
+    assert main_text(page) == joined("Some words.", PROSE * 8, PROSE * 8, "More words.")
+
+
+def test_names_break_ties_where_there_is_little_text():
+    page = "<body><nav><a href=/>Home</a></nav><div class=ad>Buy it now, today.</div><article><h1>T</h1><p>It is so, today.</p></article><footer>So it is, today.</footer></body>"
+    assert main_text(page) == joined("T", "It is so, today.")
+
+
+def test_nothing_else_of_an_article_is_dropped():
+    page = f"""<article><h1>T</h1><p>{PROSE}</p><ul><li><a href=x>A list item that is all link</a></li><li>and one</li></ul><div><a href=y>A paragraph that is all link.</a></div>
+    <section class="social-history"><p>{PROSE}</p></section><div class="ad">Buy!</div><p>{PROSE}</p></article>"""
+    assert main_text(page) == joined("T", PROSE, "A list item that is all link", "and one", "A paragraph that is all link.", PROSE, PROSE)
+
+
+def test_prose_below_a_name_and_beside_it():
+    page = f"<body><div class=social-history>{f'<p>{PROSE}</p>' * 8}</div><div><p>{PROSE}</p></div></body>"
+    assert main_text(page) == joined(*[PROSE] * 9)
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    for broken in ('<p a="', "<a ", "<p a='\"", "<!", "</p ", "<p a=\">'", "<![CDATA[", "<!--", "<script>", "<p>&"):
+        times = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            main_text("<p>x</p>" + broken * n)
+            times.append(time.process_time() - began)
+        assert times[1] < 8 * times[0] + 0.2, broken
+    assert main_text("<p>one</p>" + '<p a="' * 50) == "one\n\n" + " ".join(['<p a="'] * 1) + '<p a="' * 49
+    assert main_text('<p>one</p><p a="x>two</p>') == "one\n\ntwo" and main_text('<p title="a > b">one</p>') == "one"
+    assert main_text("<p>a</p><script>if (a < 'b>') </scriptx> c</script><p>d</p>") == "a\n\nd"
 
 
 def test_deep_nesting_is_linear():

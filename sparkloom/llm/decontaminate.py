@@ -6,13 +6,15 @@ match. Documents are read as overlapping passages of ``PASSAGE`` words, a step o
 sixths of any unit. A retrieved item is verified on the words around the passage: the shares of the item's question's
 and answer's word trigrams found there. The answer is the item's last sentence, or its last quarter if it has one sentence.
 
-Two bounds pass over passages that cannot give a result: one with fewer item trigrams than the verification of the least
-demanding item needs, and one whose terms' largest possible contributions stay below the threshold. All others run
-block-max WAND, which returns every unit above the threshold.
+Every passage queries the index. What can be told by maxima is told for many passages at a time: the terms' largest contributions
+have to reach the threshold; a unit that reaches it holds one of its leading terms, its weightiest ones, without which the others
+stay below; and the terms' maxima over a window of ``BLOCK`` units have to reach it for some window of such a unit. Passages
+that are left run block-max WAND, over the same windows, which returns every unit above the threshold. The trigrams decide only
+whether what was retrieved is in the document.
 
 The index is kept by each worker. It is built from about ``INDEX_ITEMS`` items and ``INDEX_BYTES`` bytes at a time; a larger
 benchmark is searched in several passes. Document frequencies and the mean length are those of all items in every pass, and all
-that decides about an item is its own, so the result is the same for any number of passes.
+that decides about an item is its own, so the result is the same for any number of passes; they run one after the other.
 
 Defined cases: null or wordless texts match nothing; null item texts are left out; items repeated under several ids are each
 reported; an item in several places of a document is reported once, with its best passage; repeated document rows are each
@@ -26,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +46,9 @@ UNIT, PASSAGE, STEP = 48, 64, 32
 THRESHOLD = 0.5
 QUESTION, ANSWER, TOGETHER = 0.5, 0.5, 0.7
 NGRAM = 3
-MOST_NEEDED = 8
-BLOCK = 16
+#: Units in a window that maxima are kept for, and passages that are looked at together.
+BLOCK = 8
+TOGETHER_PASSAGES = 8192
 INDEX_ITEMS, INDEX_BYTES = 20_000, 8 << 20
 #: Bytes that end a word: all of ASCII but letters and digits.
 _BREAK = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
@@ -115,34 +119,42 @@ class Index:
             for part in units_of(text):
                 self.units.append(n)
                 unit_words.append(part)
-        #: the least number of its trigrams that a passage has to hold for an item to be looked for there: half of what its
-        #: verification needs, as the words around the passage count as well
-        self.needs = [
-            max(1, min(MOST_NEEDED, min(math.ceil(QUESTION * len(q)) + math.ceil(ANSWER * len(a)), math.ceil(TOGETHER * (len(q) + len(a)))) // 2))
-            for q, a in zip(self.questions, self.answers)
-        ]
-        self.needed = min(self.needs, default=1)
         #: words before and after a passage that an item found there may reach to
         self.reach = [len(q) + len(a) + 2 * NGRAM for q, a in zip(self.questions, self.answers)]
-        self.grams = np.array(sorted(set().union(*self.questions, *self.answers)), np.uint64)
-        self.gram_sieve = np.zeros(1 << 22, bool)
-        self.gram_sieve[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         whole = whole or statistics_of([text for _, text in items])
         frequency, total, mean = whole.frequency, whole.units, whole.words / max(1, whole.units)
         self.terms = np.array(sorted(set().union(*(u.tolist() for u in unit_words))), np.uint64)
         number = {w: i for i, w in enumerate(self.terms.tolist())}
         lists: list[list[tuple[int, float]]] = [[] for _ in number]
+        leading: list[list[int]] = [[] for _ in number]
         for unit, words in enumerate(unit_words):
             weights = {}
             for w, tf in Counter(words.tolist()).items():
                 idf = math.log(1 + (total - frequency[w] + 0.5) / (frequency[w] + 0.5))
                 weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             own = sum(weights.values())
-            for w, x in weights.items():
+            left = 1.0
+            for w, x in sorted(weights.items(), key=lambda wx: -wx[1]):
                 lists[number[w]].append((unit, x / own))
+                if left >= THRESHOLD - 1e-6:
+                    leading[number[w]].append(unit // BLOCK)
+                left -= x / own
         self.posted = [[u for u, _ in row] for row in lists]
         self.weights = [[x for _, x in row] for row in lists]
-        self.blocks = [[(row[min(i + BLOCK, len(row)) - 1][0], max(x for _, x in row[i : i + BLOCK])) for i in range(0, len(row), BLOCK)] for row in lists]
+        self.windows, self.best = [], []
+        for row in lists:
+            held: dict[int, float] = {}
+            for u, x in row:
+                held[u // BLOCK] = max(held.get(u // BLOCK, 0.0), x)
+            self.windows.append(list(held))
+            self.best.append(list(held.values()))
+        # the same for many look-ups at once: a term's windows in turn, and the windows of units that it leads
+        self.in_all = max(1, -(-len(self.units) // BLOCK))
+        self.window_keys = np.array([t * self.in_all + w for t, row in enumerate(self.windows) for w in row], np.int64)
+        self.window_best = np.array([x for row in self.best for x in row])
+        leading = [sorted(set(row)) for row in leading]
+        self.lead_at = np.concatenate([[0], np.cumsum([len(row) for row in leading], dtype=np.int64)])
+        self.lead_windows = np.array([w for row in leading for w in row], np.int64)
         self.most = np.array([*(max(x) for x in self.weights), 0.0])
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -176,20 +188,18 @@ class Index:
             unit = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == unit:
                 pivot += 1
-            # the blocks that hold, or would hold, the pivot unit bound its score more closely
-            close, block_end = 0.0, 1 << 60
-            for u, t, _ in cursors[: pivot + 1]:
-                for end, best in self.blocks[t]:
-                    if end >= unit:
-                        close += best
-                        block_end = min(block_end, end)
-                        break
+            # the maxima of the window that the pivot unit is in bound its score more closely
+            close, window = 0.0, unit // BLOCK
+            for _, t, _ in cursors[: pivot + 1]:
+                held = self.windows[t]
+                at = bisect_left(held, window)
+                if at < len(held) and held[at] == window:
+                    close += self.best[t][at]
             if close < floor:
-                goal = block_end + 1
+                goal = (window + 1) * BLOCK
                 if pivot + 1 < len(cursors):
                     goal = min(goal, cursors[pivot + 1][0])
-                goal = max(goal, unit + 1)
-                self._advance(cursors, pivot + 1, goal)
+                self._advance(cursors, pivot + 1, max(goal, unit + 1))
             elif cursors[0][0] == unit:
                 score = sum(self.weights[t][p] for u, t, p in cursors[: pivot + 1] if u == unit)
                 if score >= floor:
@@ -204,9 +214,8 @@ class Index:
         ended = False
         for c in cursors[:upto]:
             if c[0] < goal:
-                posted, at = self.posted[c[1]], c[2]
-                while at < len(posted) and posted[at] < goal:
-                    at += 1
+                posted = self.posted[c[1]]
+                at = bisect_left(posted, goal, c[2])
                 if at == len(posted):
                     c[0], ended = -1, True
                 else:
@@ -214,47 +223,74 @@ class Index:
         if ended:
             cursors[:] = [c for c in cursors if c[0] >= 0]
 
-    def search(self, words: np.ndarray) -> dict[int, tuple[float, float, float, int]]:
-        """item: (score, question share, answer share, passage's first word) of one document's words."""
-        n, found = len(words), gram_hashes(words)
-        maybe = np.flatnonzero(self.gram_sieve[(found & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        if len(maybe) < self.needed:
-            return {}
-        at = np.minimum(np.searchsorted(self.grams, found[maybe]), len(self.grams) - 1)
-        maybe = maybe[self.grams[at] == found[maybe]]
-        if len(maybe) < self.needed:
-            return {}
-        starts = np.arange(0, max(1, n - PASSAGE + STEP), STEP)
-        ends = np.minimum(starts + PASSAGE, n)
-        held = np.searchsorted(maybe, ends) - np.searchsorted(maybe, starts)
-        best: dict[int, tuple[float, float, float, int]] = {}
-        for s, e in zip(starts[held >= self.needed].tolist(), ends[held >= self.needed].tolist()):
-            numbers = self.numbers(words[s:e])
-            terms = np.array(sorted(set(numbers[numbers < len(self.terms)].tolist())), np.int64)
-            if self.most[terms].sum() < THRESHOLD - 1e-6:
-                continue
-            for unit, score in self.retrieve(terms.tolist()):
-                item = self.units[unit]
-                if item in best and best[item][0] >= score:
-                    continue
-                question, answer, reach = self.questions[item], self.answers[item], self.reach[item]
-                here = grams(words[s:e])
-                if len(question & here) + len(answer & here) < self.needs[item]:
-                    continue
-                around = grams(words[max(0, s - reach) : e + reach])
-                q, a = len(question & around), len(answer & around)
-                share_q, share_a = q / max(1, len(question)), a / max(1, len(answer))
-                both = (q + a) / max(1, len(question) + len(answer))
-                if share_q >= QUESTION and (share_a >= ANSWER or not answer) or both >= TOGETHER:
-                    best[item] = (score, share_q, share_a, s)
-        return best
+    def candidates(self, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(passage, its distinct terms) for those passages, given by where they start and end, that maxima don't rule out."""
+        floor, known = THRESHOLD - 1e-6, np.flatnonzero(numbers < len(self.terms))
+        first, last = np.searchsorted(known, starts), np.searchsorted(known, ends)
+        passage, place = _expanded(first, last - first)
+        pairs = np.unique(passage * len(self.terms) + numbers[known[place]])
+        passage, term = pairs // max(1, len(self.terms)), pairs % max(1, len(self.terms))
+        keep = np.bincount(passage, self.most[term], len(starts))[passage] >= floor
+        passage, term = passage[keep], term[keep]
+        # windows of units that a term leads, of each passage
+        row, at = _expanded(self.lead_at[term], self.lead_at[term + 1] - self.lead_at[term])
+        met = np.unique(passage[row] * self.in_all + self.lead_windows[at])
+        met_passage, met_window = met // self.in_all, met % self.in_all
+        begin, end = np.searchsorted(passage, met_passage), np.searchsorted(passage, met_passage, "right")
+        which, at = _expanded(begin, end - begin)
+        keys = term[at] * self.in_all + met_window[which]
+        held = np.minimum(np.searchsorted(self.window_keys, keys), max(0, len(self.window_keys) - 1))
+        best = np.where(self.window_keys[held] == keys, self.window_best[held], 0.0) if len(keys) else np.empty(0)
+        for p in np.unique(met_passage[np.bincount(which, best, len(met)) >= floor]).tolist():
+            a, b = np.searchsorted(passage, [p, p + 1])
+            yield p, term[a:b].tolist()
+
+    def search(self, words: np.ndarray, bounds: np.ndarray) -> list[dict[int, tuple[float, float, float, int]]]:
+        """For each document, whose words lie between its bounds, item: (score, question share, answer share, passage's first
+        word)."""
+        out: list[dict[int, tuple[float, float, float, int]]] = [{} for _ in range(len(bounds) - 1)]
+        if not len(self.terms):
+            return out
+        sizes = np.diff(bounds)
+        counts = np.where(sizes > 0, np.maximum(1, -(-(sizes - PASSAGE) // STEP) + 1), 0)
+        owner, nth = _expanded(np.zeros(len(counts), np.int64), counts)
+        starts = bounds[owner] + nth * STEP
+        ends = np.minimum(starts + PASSAGE, bounds[owner + 1])
+        numbers = self.numbers(words)
+        for i in range(0, len(starts), TOGETHER_PASSAGES):
+            some = slice(i, i + TOGETHER_PASSAGES)
+            for p, terms in self.candidates(numbers, starts[some], ends[some]):
+                doc = int(owner[i + p])
+                begin, end, s, e = int(bounds[doc]), int(bounds[doc + 1]), int(starts[i + p]), int(ends[i + p])
+                for unit, score in self.retrieve(terms):
+                    item, best = self.units[unit], out[doc]
+                    if item in best and best[item][0] >= score:
+                        continue
+                    if shares := self.verified(item, words[max(begin, s - self.reach[item]) : min(end, e + self.reach[item])]):
+                        best[item] = (score, *shares, s - begin)
+        return out
+
+    def verified(self, item: int, around: np.ndarray) -> tuple[float, float] | None:
+        """The shares of an item's question's and answer's trigrams among the words around a passage, if they suffice."""
+        question, answer, here = self.questions[item], self.answers[item], grams(around)
+        q, a = len(question & here), len(answer & here)
+        share_q, share_a = q / max(1, len(question)), a / max(1, len(answer))
+        both = (q + a) / max(1, len(question) + len(answer))
+        return (share_q, share_a) if share_q >= QUESTION and (share_a >= ANSWER or not answer) or both >= TOGETHER else None
+
+
+def _expanded(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, ``counts`` numbers from ``first`` on: (row, number) of all of them."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + first[row]
 
 
 _FOUND = "doc_id long, item_id long, score double, question_share double, answer_share double, first_word long"
 
 
-def _passes(benchmark: DataFrame, index_items: int) -> list[tuple[list[tuple[int, str]], Statistics]]:
-    """The items of each pass, a bounded number of them, with the statistics of all items for their terms."""
+def _passes(benchmark: DataFrame, index_items: int) -> tuple[int, Iterator[tuple[list[tuple[int, str]], Statistics]]]:
+    """How many passes there are, and one after the other the items of each, a bounded number of them, with the statistics
+    of all items for their terms."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     count, most = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     passes = max(1, -(-count // index_items), -(-most // INDEX_BYTES))
@@ -273,15 +309,17 @@ def _passes(benchmark: DataFrame, index_items: int) -> list[tuple[list[tuple[int
     counted = items.mapInArrow(terms, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     counted = stage(counted, "terms")
     units, words = counted.filter("term = 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
-    out = []
-    for i in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
-        # bounded by INDEX_BYTES: the terms of the items of one pass
-        own = part.mapInArrow(terms, "term long, n long, words long").select("term").distinct()
-        table = counted.filter("term <> 0").join(own, "term", "left_semi").select("term", "n").toArrow()
-        frequency = dict(zip(table.column("term").to_numpy().view(np.uint64).tolist(), table.column("n").to_pylist()))
-        out.append(([tuple(r) for r in part.orderBy("item_id", "text").collect()], Statistics(units, words, frequency)))
-    return out
+
+    def each() -> Iterator[tuple[list[tuple[int, str]], Statistics]]:
+        for i in range(passes):
+            part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i)
+            # bounded by INDEX_BYTES: the terms of the items of one pass
+            own = part.mapInArrow(terms, "term long, n long, words long").select("term").distinct()
+            table = counted.filter("term <> 0").join(own, "term", "left_semi").select("term", "n").toArrow()
+            frequency = dict(zip(table.column("term").to_numpy().view(np.uint64).tolist(), table.column("n").to_pylist()))
+            yield [tuple(r) for r in part.orderBy("item_id", "text").collect()], Statistics(units, words, frequency)
+
+    return passes, each()
 
 
 #: The index that a worker used last, by the name of its pass.
@@ -298,9 +336,11 @@ def _index_for(name: str, items: list[tuple[int, str]], whole: Statistics) -> In
 
 def leaks(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
     """doc_id, item_id, score, question_share, answer_share, first_word for each item found in each row of ``docs``."""
+    passes, each = _passes(benchmark, index_items)
     found = None
-    for items, whole in _passes(benchmark, index_items):
+    for items, whole in each:
         one = _searched(docs, items, whole)
+        one = one if passes == 1 else stage(one, "leaks")
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -308,9 +348,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS)
 def cleaned(docs: DataFrame, benchmark: DataFrame, index_items: int = INDEX_ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item of ``benchmark``: each row is judged where it is read. A benchmark of
     several passes has what each of them leaves written between them."""
-    passes = _passes(benchmark, index_items)
-    for i, (items, whole) in enumerate(passes):
-        docs = _filtered(docs if i == 0 else stage(docs, "cleaned"), items, whole)
+    passes, each = _passes(benchmark, index_items)
+    for i, (items, whole) in enumerate(each, 1):
+        docs = _filtered(docs, items, whole)
+        docs = docs if i == passes else stage(docs, "cleaned")
     return docs
 
 
@@ -320,8 +361,7 @@ def _found_in(batches: Iterator[pa.RecordBatch], at: int | str, index: Index) ->
 
         def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple[int, dict]]:
             for first, last, words, bounds in document_words(utf8(batch.column(at)), _BREAK):
-                for i in range(last - first):
-                    yield first + i, index.search(words[bounds[i] : bounds[i + 1]])
+                yield from enumerate(index.search(words, np.asarray(bounds, np.int64)[: last - first + 1]), first)
 
         yield batch, rows()
 

@@ -78,15 +78,12 @@ def brute(docs, items):
         words = d.words_of(text or "")
         for s in range(0, max(1, len(words) - d.PASSAGE + d.STEP), d.STEP):
             passage = words[s : s + d.PASSAGE]
-            held, here = set(passage.tolist()), d.grams(passage)
+            held = set(passage.tolist())
             for n, weights in units:
                 score = sum(x for w, x in weights.items() if w in held)
                 if score < d.THRESHOLD - 1e-9 or found.get((row, n), (0,))[0] >= score - 1e-9:
                     continue
                 question, answer = map(d.grams, d.question_and_answer(items[n][1]))
-                need = min(d.math.ceil(d.QUESTION * len(question)) + d.math.ceil(d.ANSWER * len(answer)), d.math.ceil(d.TOGETHER * (len(question) + len(answer))))
-                if len(question & here) + len(answer & here) < max(1, min(d.MOST_NEEDED, need // 2)):
-                    continue
                 reach = len(question) + len(answer) + 2 * d.NGRAM
                 around = d.grams(words[max(0, s - reach) : s + d.PASSAGE + reach])
                 q, a = len(question & around), len(answer & around)
@@ -132,3 +129,28 @@ def test_a_very_long_text(spark):
     text = " ".join(rng.choice(VOCABULARY) for _ in range(400_000))
     docs = spark.createDataFrame([(1, text + " " + item + " " + text), (2, text)], "doc_id long, text string")
     assert [(r.doc_id, r.item_id) for r in d.leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 7)]
+
+
+def test_what_is_not_retrieved_is_not_verified():
+    """Half of an item's question and its answer, but of words that all items have: enough trigrams, too little weight."""
+    common, rare = VOCABULARY[:12], [f"rare{i}" for i in range(11)]
+    items = [(i, " ".join(common) + " " + " ".join(f"own{i}x{k}" for k in range(10)) + ". " + " ".join(common[:4]) + ".") for i in range(1, 60)]
+    items.append((0, " ".join(common + rare[:10]) + ". " + " ".join(common[:4]) + "."))
+    index, text = d.Index(items), " ".join(common) + ". " + " ".join(common[:4])
+    words = d.words_of(text)
+    assert index.verified(59, words) and index.search(words, d.np.array([0, len(words)])) == [{}]
+    words = d.words_of(" ".join(common + rare[:10]) + ". " + " ".join(common[:4]))
+    assert set(index.search(words, d.np.array([0, len(words)]))[0]) == {59}
+
+
+def test_maxima_rule_out_nothing_that_reaches_the_threshold():
+    rng = random.Random(8)
+    items = [(i, sentence(rng, rng.randrange(1, 100)) + " " + sentence(rng, rng.randrange(1, 9))) for i in range(150)]
+    index = d.Index(items)
+    words = d.words_of(" ".join(sentence(rng, 20) + " " + " ".join(w for w in rng.choice(items)[1].split() if rng.random() < 0.7) for _ in range(120)))
+    starts = d.np.arange(0, len(words), 13)
+    ends = d.np.minimum(starts + d.PASSAGE, len(words))
+    numbers = index.numbers(words)
+    reaching = {p for p, (s, e) in enumerate(zip(starts, ends)) if index.retrieve(sorted(set(numbers[s:e][numbers[s:e] < len(index.terms)].tolist())))}
+    found = {p for p, _ in index.candidates(numbers, starts, ends)}
+    assert reaching and reaching <= found < set(range(len(starts)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import reviews, sync, upsert
+from sparkloom import scratch
+from sparkloom.operators import bucketed, reviews, sync, upsert
 from sparkloom.operators.evidence import shards
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
@@ -25,14 +26,27 @@ def freshest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return upsert.freshest(table(spark, d, "events"), ["user_id"], "ts", "event_id").select("user_id", "event_id", "ts")
 
 
-@query("upsert_state", f"""
+_UPSERTED = f"""
 SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL OR n.ts >= o.ts THEN n.event_type ELSE o.event_type END AS event_type,
-CASE WHEN o.user_id IS NULL OR n.ts >= o.ts THEN n.value ELSE o.value END AS value FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.user_id = n.user_id""")
+CASE WHEN o.user_id IS NULL OR n.ts >= o.ts THEN n.value ELSE o.value END AS value FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.user_id = n.user_id"""
+
+
+@query("upsert_state", _UPSERTED)
 def upsert_state(spark: SparkSession, d: str) -> DataFrame:
     changes = upsert.matched(_snapshots(spark, d, False), _snapshots(spark, d, True), ["user_id"], upsert.Policy(fresh="ts"))
     return upsert.new_state(changes).select("user_id", "event_type", "value")
 
 
+@query("upsert_buckets", _UPSERTED)
+def upsert_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The same by state in buckets: a first load, a batch, and one user's rows again, which change nothing."""
+    root, policy = scratch.new_path(spark, "buckets"), upsert.Policy(fresh="ts")
+    old, new = _snapshots(spark, d, False), _snapshots(spark, d, True)
+    for batch in (old, new, new.filter(F.col("user_id") == F.lit(new.agg(F.min("user_id")).first()[0]))):
+        bucketed.upsert(batch, root, "users", ["user_id"], policy, buckets=16)
+    return bucketed.read(spark, root, "users").select("user_id", "event_type", "value")
+
+
 @query("change_operations", f"""
 SELECT coalesce(o.user_id, n.user_id) AS user_id, CASE WHEN o.user_id IS NULL THEN 'created' WHEN n.user_id IS NULL THEN 'kept'
 WHEN n.ts >= o.ts AND (o.event_type <> n.event_type OR o.value <> n.value OR o.ts <> n.ts) THEN 'updated' ELSE 'unchanged' END AS op FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.user_id = n.user_id""")

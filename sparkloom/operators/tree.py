@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from sparkloom.scratch import written
 
@@ -25,9 +26,18 @@ def build(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def coverage(members: DataFrame, nodes: DataFrame, item: str, path: str = "path") -> DataFrame:
-    """path, covered: distinct items at each main node or below it."""
+    """path, covered: distinct items at each main node or below it.
+
+    Items that are integers become bitmaps where they are, a bit each, combined before the shuffle; what is multiplied by its depth and
+    rolled up are bitmaps of 32,768 items, not members. Other items are made distinct row by row."""
+    main = nodes.filter("is_main").select("path")
+    if isinstance(members.schema[item].dataType, IntegralType):
+        at = F.col(item).cast("long")
+        own = members.groupBy(F.col(path).alias("leaf"), F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+        each = own.select("bucket", "bits", F.explode(prefixes(F.col("leaf"))).alias("path")).join(main, "path", "left_semi")
+        return each.groupBy("path", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy("path").agg(F.sum("n").alias("covered"))
     each = members.select(F.col(item), F.explode(prefixes(F.col(path))).alias("path")).distinct()
-    return each.join(nodes.filter("is_main").select("path"), "path", "left_semi").groupBy("path").agg(F.count(item).alias("covered"))
+    return each.join(main, "path", "left_semi").groupBy("path").agg(F.count(item).alias("covered"))
 
 
 def main_ancestors(nodes: DataFrame) -> DataFrame:
@@ -45,19 +55,19 @@ def condensed_parents(nodes: DataFrame, covered: DataFrame) -> DataFrame:
     return kept.join(near, "path", "left")
 
 
-def preorder(nodes: DataFrame, parents: DataFrame, covered: DataFrame, levels: int = 12) -> DataFrame:
+def preorder(nodes: DataFrame, parents: DataFrame, covered: DataFrame) -> DataFrame:
     """path, parent, label, covered, depth, nth: covered main nodes in pre-order, siblings by coverage descending, then label.
 
-    The sort key is the list of (-covered, label) on the condensed way from the root: a list sorts after its prefixes.
+    A subtree's size is the number of nodes that have its root on their condensed way. A node's number is then the sum, along its way, of
+    one and the sizes of the subtrees of earlier siblings: no order over all nodes is needed, only one among the children of each.
     """
     main = parents.join(covered, "path").join(nodes.select("path", "label"), "path")
-    step = F.struct((-F.col("covered")).alias("n"), F.col("label").alias("l"))
-    own = main.select(F.col("path").alias("ancestor"), step.alias("step"))
-    ways = main.select("path", F.explode(prefixes(F.col("path"))).alias("ancestor")).join(own, "ancestor")
-    keys = ways.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.size("ancestor").alias("d"), "step"))), lambda s: s["step"]).alias("key"))
-    found = main.join(keys, "path").withColumn("depth", F.size("key"))
-    # one number for each tree node: the tree of topics is small and shown whole
-    return found.withColumn("nth", F.row_number().over(Window.orderBy("key"))).select("path", "parent", "label", "covered", "depth", "nth")
+    ways = main.select("path", F.explode(prefixes(F.col("path"))).alias("ancestor"))
+    sizes = ways.join(main.select(F.col("path").alias("ancestor")), "ancestor", "left_semi").groupBy(F.col("ancestor").alias("path")).agg(F.count("*").alias("size"))
+    earlier = Window.partitionBy("parent").orderBy(F.desc("covered"), "label", "path").rowsBetween(Window.unboundedPreceding, -1)
+    own = main.join(sizes, "path").select(F.col("path").alias("ancestor"), (F.coalesce(F.sum("size").over(earlier), F.lit(0)) + 1).alias("step"))
+    numbers = ways.join(own, "ancestor").groupBy("path").agg(F.count("*").cast("int").alias("depth"), F.sum("step").cast("int").alias("nth"))
+    return main.join(numbers, "path").select("path", "parent", "label", "covered", "depth", "nth")
 
 
 def main_topic_tree(members: DataFrame, nodes: DataFrame, item: str, selected: list[str] | None = None) -> DataFrame:

@@ -1,30 +1,38 @@
 """WARC records in ZIP packages: a writer, and a reader that parses the central directory (ZIP64 too), locates stored
 members and their index, and range-reads single records without extracting anything.
 
-A package holds two stored members: ``archive/data.warc.gz``, one gzip member for each record, and ``indexes/index.cdxj``, a
-line with offset and length for each record. Packages are written by tasks into the folder that all executors
+A package holds two stored members: ``archive/data.warc.gz``, one gzip member for each record, behind one that tells what wrote it,
+and ``indexes/index.cdxj``, a line for each record, sorted by search key: key, time, and offset and length among others as JSON. Records are
+those of WARC/1.1: a response has an HTTP message with the payload as its body; a revisit has the profile of equal payloads, no block, and the
+identifier of the record that it refers to. What only this library needs stands in headers that begin with X-. Packages are written by tasks into the folder that all executors
 share, under names no two attempts have in common; the table of packages lists those of the attempts that counted.
 
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes, the one with the largest page_id holds the payload and the
 others are revisits that refer to it.
 
 Defined cases: a null html is an empty payload; payloads below the limit are always responses; rows repeated with one page_id
-are all responses if it is the largest; a null page_id or url is an absent header and comes back null; rows of a null
-page_id are never referred to and are responses if no other row has their payload; a payload of any length is one record; columns
+are all responses if it is the largest; a null page_id or url comes back null; an address that is no
+absolute URI is written as one of an own scheme and comes back as it was; rows of a null
+page_id are never referred to and are responses if no other row has their payload; rows of one page_id and payload share a record
+identifier; a payload of any length is one record; columns
 other than page_id, url and html are ignored; an empty table makes no packages.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -129,14 +137,74 @@ class ZipDirectory:
         at, n = self.stored(index)
         for line in self.file.read(at, n).splitlines():
             where = json.loads(line.split(b" ", 2)[2])
-            if where["offset"] + where["length"] > length:
+            begin, size = int(where["offset"]), int(where["length"])
+            if begin + size > length:
                 raise ValueError("the index points outside its member")
-            yield zlib.decompress(self.file.read(offset + where["offset"], where["length"]), 31)
+            yield zlib.decompress(self.file.read(offset + begin, size), 31)
 
 
-def warc_record(kind: str, headers: list[tuple[str, str]], payload: bytes) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(payload)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+#: Fixed values of the formats.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:[^\s]")
+_RESERVED = "!#$%&'()*+,/:;=?@[]~"
+
+
+def record_id(page_id: int | None, digest: str) -> str:
+    """The identifier of a page's record; of one without page_id one that nothing refers to."""
+    return f"<urn:uuid:{uuid.uuid4() if page_id is None else uuid.uuid5(uuid.NAMESPACE_URL, str((page_id, digest)))}>"
+
+
+def target_uri(url: str | None) -> str:
+    """An absolute URI for any address, in ASCII without blanks."""
+    quoted = quote(url or "", safe=_RESERVED)
+    return quoted if url and _ABSOLUTE.match(url) else f"x-address:{quoted or 'none'}"
+
+
+def search_key(uri: str) -> str:
+    """The key by which an index is sorted: the host's parts in reverse, then the path; other URIs as they are."""
+    try:
+        parts = urlsplit(uri)
+        host, port = parts.hostname, parts.port
+    except ValueError:
+        return uri
+    if parts.scheme not in ("http", "https") or not host:
+        return uri
+    rest = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    return f"{','.join(reversed(host.split('.')))}{f':{port}' if port else ''}){rest}".lower()
+
+
+def labelled(digest: str) -> str:
+    """A hexadecimal SHA-1 as archives write it."""
+    return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
+
+
+def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def page_record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, date: str) -> bytes:
+    """The record of a page: a response with its payload, or a revisit of the page ``refers_to``, without."""
+    headers = [("WARC-Record-ID", record_id(page_id, digest)), ("WARC-Date", date), ("WARC-Target-URI", target_uri(url)), ("WARC-Payload-Digest", labelled(digest)), ("X-Payload-Length", str(length))]
+    headers += [("X-Page-ID", str(page_id))] * (page_id is not None)
+    headers += [("X-Address", json.dumps(url))] * (url is not None and url != target_uri(url))
+    headers += [("X-No-Address", "true")] * (url is None)
+    if refers_to is None:
+        return warc_record("response", [*headers, ("Content-Type", "application/http; msgtype=response")], _HTTP.format(len(payload)).encode() + payload)
+    return warc_record("revisit", [*headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page", str(refers_to))], b"")
+
+
+def page_of(record: bytes) -> tuple[int | None, str | None, int, str, str, int | None, bytes | None]:
+    """page_id, url, payload's length and digest, type, page referred to and payload (None: a revisit) of a page's record."""
+    kind, headers, block = parse_warc(record)
+    digest, length = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), int(headers["X-Payload-Length"])
+    url = None if "X-No-Address" in headers else json.loads(headers["X-Address"]) if "X-Address" in headers else headers["WARC-Target-URI"]
+    page, refers = headers.get("X-Page-ID"), headers.get("X-Refers-To-Page")
+    payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
+    if payload is not None and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
+        raise ValueError("damaged record")
+    return int(page) if page else None, url, length, digest, kind, int(refers) if refers else None, payload
 
 
 def parse_warc(record: bytes) -> tuple[str, dict[str, str], bytes]:
@@ -153,22 +221,33 @@ def parse_warc(record: bytes) -> tuple[str, dict[str, str], bytes]:
 
 
 class Package:
-    """One ZIP package under construction."""
+    """One ZIP package under construction; ``date`` is that of its records."""
 
-    def __init__(self, force_zip64: bool = False) -> None:
-        self.data, self.index, self.taken, self.force = io.BytesIO(), [], 0, force_zip64
+    def __init__(self, force_zip64: bool = False, date: str = "1970-01-01T00:00:00Z") -> None:
+        self.data, self.index, self.taken, self.force, self.date = io.BytesIO(), [], 0, force_zip64, date
+        headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")]
+        self._member(warc_record("warcinfo", headers, b"software: sparkloom\r\nformat: WARC File Format 1.1\r\n"))
 
-    def add(self, page_id: int | None, url: str | None, record: bytes, payload_bytes: int) -> None:
-        packed = gzip.compress(record, 4, mtime=0)
-        where = json.dumps({"offset": self.data.tell(), "length": len(packed)})
-        self.index.append(f"{'-' if page_id is None else page_id} 0 {where}")
+    def _member(self, record: bytes) -> tuple[int, int]:
+        at, packed = self.data.tell(), gzip.compress(record, 4, mtime=0)
         self.data.write(packed)
+        return at, len(packed)
+
+    def add(self, page_id: int | None, url: str | None, record: bytes, payload_bytes: int, **told: str) -> None:
+        """Adds a page's record; ``told`` is said of it in the index."""
+        offset, length = self._member(record)
+        uri = target_uri(url)
+        line = json.dumps({"url": uri, **told, "length": str(length), "offset": str(offset), "filename": MEMBER.rsplit("/", 1)[1]})
+        self.index.append((search_key(uri), re.sub(r"\D", "", self.date)[:14], offset, line))
         self.taken += payload_bytes
 
+    def lines(self) -> str:
+        return "".join(f"{key} {time} {line}\n" for key, time, _, line in sorted(self.index))
+
     def bytes(self) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
-            for name, data in ((MEMBER, self.data.getvalue()), (INDEX, "\n".join(self.index).encode())):
+            for name, data in ((MEMBER, self.data.getvalue()), (INDEX, self.lines().encode())):
                 with z.open(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), "w", force_zip64=self.force) as f:
                     f.write(data)
         return out.getvalue()
@@ -190,12 +269,12 @@ def _digests(pages: DataFrame) -> DataFrame:
     )
 
 
-def _records(rows: DataFrame, root: str, package_bytes: int, among=None) -> DataFrame:
+def _records(rows: DataFrame, root: str, package_bytes: int, date: str, among=None) -> DataFrame:
     """path, records of packages with a record for each of the rows (page_id, url, payload, digest, n, refers_to, key): a
     revisit has no payload. With ``among``, only for those whose key is surely not in that bitmap."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        package, attempt = Package(), uuid.uuid4().hex
+        package, attempt = Package(date=date), uuid.uuid4().hex
 
         def close() -> pa.RecordBatch:
             path = f"{root}/{attempt}-{uuid.uuid4().hex}.wacz"
@@ -206,30 +285,27 @@ def _records(rows: DataFrame, root: str, package_bytes: int, among=None) -> Data
             if among is not None:
                 batch = batch.filter(pa.array(~maybe_among(among.value, batch.column("key").to_numpy())))
             for row in batch.to_pylist():
-                headers = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str((row['page_id'], row['digest'])))}>"), ("WARC-Payload-Digest", f"sha1:{row['digest']}"), ("Payload-Length", str(row["n"]))]
-                headers += [("Page-ID", str(row["page_id"]))] * (row["page_id"] is not None)
-                headers += [("WARC-Target-URI", json.dumps(row["url"]))] * (row["url"] is not None)
-                if row["refers_to"] is None:
-                    record = warc_record("response", headers, row["payload"].encode())
-                else:
-                    record = warc_record("revisit", [*headers, ("WARC-Refers-To", f"<urn:page:{row['refers_to']}>")], b"")
-                package.add(row["page_id"], row["url"], record, len(record))
+                payload = (row["payload"] or "").encode()
+                record = page_record(row["page_id"], row["url"], payload, row["n"], row["digest"], row["refers_to"], date)
+                told = {"mime": "text/html", "status": "200"} if row["refers_to"] is None else {"mime": "warc/revisit"}
+                package.add(row["page_id"], row["url"], record, len(record), digest=labelled(row["digest"]), **told)
                 if package.taken >= package_bytes:
                     yield close()
-                    package = Package()
+                    package = Package(date=date)
         if package.index:
             yield close()
 
     return rows.select("page_id", "url", "payload", "digest", "n", "refers_to", "key").mapInArrow(write, "path string, records long")
 
 
-def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """path, records of the packages that hold a record for each row of ``pages`` (page_id, url, html).
+def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes: int = PACKAGE_BYTES, date: str | None = None) -> DataFrame:
+    """path, records of the packages that hold a record for each row of ``pages`` (page_id, url, html), dated ``date`` (now).
 
     Digests decide, without payloads, which rows are revisits, and those are written without. Payloads whose digest is surely not
     a copied one are written where they are read; only the others are shuffled, by digest and page_id, so that the
     copies of one page do not meet in one task."""
     bounded_batches(pages.sparkSession)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = _digests(pages).withColumn("key", F.xxhash64("digest"))
     held: list[str] = []
     narrow = stage(rows.drop("payload"), "digests", held)
@@ -247,9 +323,9 @@ def write_packages(pages: DataFrame, least: int = LEAST_REVISIT, package_bytes:
     maybe = rows.mapInArrow(copies, rows.schema)
     maybe = maybe.join(answers, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_semi")
     none, root = F.lit(None).cast("long"), shared_path(pages.sparkSession, "packages")
-    written = _records(rows.withColumn("refers_to", none), root, package_bytes, bits)
+    written = _records(rows.withColumn("refers_to", none), root, package_bytes, date, bits)
     for some in (maybe.withColumn("refers_to", none), revisits):
-        written = written.unionByName(_records(some, root, package_bytes))
+        written = written.unionByName(_records(some, root, package_bytes, date))
     packages = stage(written, "package-list")
     release(held)
     return packages
@@ -269,14 +345,12 @@ def read_packages(packages: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 file, rows, held = RangeFile(path), [], 0
                 for record in ZipDirectory(file).records():
-                    kind, headers, body = parse_warc(record)
-                    digest, length = headers["WARC-Payload-Digest"].removeprefix("sha1:"), int(headers["Payload-Length"])
-                    if kind == "response" and (hashlib.sha1(body).hexdigest() != digest or len(body) != length):
-                        raise ValueError(f"damaged record in {path}")
-                    page, refers = headers.get("Page-ID"), headers.get("WARC-Refers-To")
-                    refers = int(refers.removeprefix("<urn:page:").removesuffix(">")) if refers else None
-                    rows.append((int(page) if page else None, json.loads(headers["WARC-Target-URI"]) if "WARC-Target-URI" in headers else None, length, digest, kind, refers, body.decode() if kind == "response" else None))
-                    held += len(body)
+                    try:
+                        *told, payload = page_of(record)
+                    except ValueError as e:
+                        raise ValueError(f"{e} in {path}") from e
+                    rows.append((*told, None if payload is None else payload.decode()))
+                    held += len(payload or b"")
                     if held >= 4 << 20:
                         yield out(rows)
                         rows, held = [], 0

@@ -1,5 +1,9 @@
+import base64
 import hashlib
+import json
+import re
 import zipfile
+import zlib
 
 import pytest
 
@@ -58,3 +62,58 @@ def test_damage_is_noticed(tmp_path):
         z.writestr(a.MEMBER, "x" * 100)
     with pytest.raises(ValueError):
         a.ZipDirectory(a.RangeFile(str(path))).stored(a.MEMBER)
+
+
+def test_records_are_valid(spark):
+    """Every record and index line by the rules of the formats, read without this library's reader."""
+    rows = [(1, "http://www.Example.org:8080/a b?q=ü", "<p>" + "x" * 2000, "c"), (2, "https://b.example/", "<p>" + "x" * 2000, "c"), (3, None, "", "c"), (4, "no address", "é", "c"), (None, "ftp://x/y", "z", "c"), (5, "http://[broken/", "w", "c")]
+    packages = a.write_packages(spark.createDataFrame(rows, SCHEMA), package_bytes=2500).collect()
+    ids, referred, targets = set(), set(), set()
+    for path in [r.path.removeprefix("file://").removeprefix("file:") for r in packages]:
+        with zipfile.ZipFile(path) as z:
+            data, lines = z.read(a.MEMBER), z.read(a.INDEX).decode().splitlines()
+        assert lines == sorted(lines)
+        told = {}
+        for line in lines:
+            key, time, about = line.split(" ", 2)
+            assert re.fullmatch(r"\d{14}", time) and key.isascii()
+            told[int(json.loads(about)["offset"])] = json.loads(about)
+        at, first = 0, True
+        while at < len(data):
+            member = zlib.decompressobj(31)
+            record = member.decompress(data[at:])
+            end = len(data) - len(member.unused_data)
+            head, _, block = record.partition(b"\r\n\r\n")
+            version, *fields = head.decode("ascii").split("\r\n")
+            headers = dict(f.split(": ", 1) for f in fields)
+            assert version == "WARC/1.1" and len(headers) == len(fields) and block[int(headers["Content-Length"]) :] == b"\r\n\r\n"
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", headers["WARC-Record-ID"]) and headers["WARC-Record-ID"] not in ids
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", headers["WARC-Date"])
+            ids.add(headers["WARC-Record-ID"])
+            kind, block = headers["WARC-Type"], block[:-4]
+            assert kind == ("warcinfo" if first else kind) and (at in told) == (not first)
+            if not first:
+                assert re.fullmatch(r"[A-Za-z][A-Za-z0-9+.-]*:[!-~]+", headers["WARC-Target-URI"]) and int(told[at]["length"]) == end - at
+                assert told[at]["url"] == headers["WARC-Target-URI"] and told[at]["digest"] == headers["WARC-Payload-Digest"]
+                targets.add((headers["WARC-Target-URI"], headers["WARC-Type"]))
+            if kind == "response":
+                http, _, payload = block.partition(b"\r\n\r\n")
+                assert headers["Content-Type"] == "application/http; msgtype=response" and http.startswith(b"HTTP/1.1 200 OK\r\n")
+                assert headers["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            elif kind == "revisit":
+                assert headers["WARC-Profile"] == "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" and not block
+                referred.add(headers["WARC-Refers-To"])
+            at, first = end, False
+    assert len(referred) == 1 and referred <= ids
+    assert targets == {
+        ("http://www.Example.org:8080/a%20b?q=%C3%BC", "revisit"), ("https://b.example/", "response"), ("x-address:none", "response"), ("x-address:no%20address", "response"),
+        ("ftp://x/y", "response"), ("http://[broken/", "response"),
+    }
+    assert a.search_key("http://www.Example.org:8080/a%20b?q=1") == "org,example,www:8080)/a%20b?q=1" and a.search_key("https://b.example") == "example,b)/"
+
+
+def test_a_damaged_payload_is_noticed():
+    good = a.page_record(1, "http://x/", b"body", 4, hashlib.sha1(b"body").hexdigest(), None, "2024-01-01T00:00:00Z")
+    assert a.page_of(good)[-1] == b"body"
+    with pytest.raises(ValueError, match="damaged"):
+        a.page_of(good.replace(b"body", b"bodx"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,13 +72,19 @@ def suffix_matches(labels: DataFrame, people: DataFrame) -> DataFrame:
     return both.filter((F.size(F.array_except(own, "f")) == 0) | (F.size(F.array_except("f", own)) == 0)).select("label", "person")
 
 
+def _whole(name: Column) -> Column:
+    """The pattern of a name as whole words, the name itself quoted."""
+    quoted = F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.concat(F.lit(r"(?iuU)(?<![\w-])\Q"), quoted, F.lit(r"\E(?![\w-])"))
+
+
 def whole_word_matches(names: DataFrame, texts: DataFrame) -> DataFrame:
     """name, id, matches: names that occur as whole words (hyphens count as letters) in a text; ``matches`` other than 1 is an error.
 
     Texts and names meet by equality on the first word of a name, which a text with the name has to hold; the pattern, with the name
     quoted, then decides. A name without any word character matches nothing."""
     words = lambda c: F.regexp_extract_all(F.lower(F.upper(c)), F.lit(r"(?U)[\w-]+"), F.lit(0))
-    pattern = F.concat(F.lit(r"(?iuU)(?<![\w-])\Q"), F.col("name"), F.lit(r"\E(?![\w-])"))
+    pattern = _whole(F.col("name"))
     keyed = names.select("name", F.get(words(F.col("name")), 0).alias("key")).distinct()
     held = texts.select("id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("key"))
     hits = held.join(keyed, "key").filter(F.regexp_like("text", pattern)).select("name", "id").distinct()
@@ -82,6 +92,74 @@ def whole_word_matches(names: DataFrame, texts: DataFrame) -> DataFrame:
     return names.join(counts, "name", "left").select("name", "id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+#: Bytes of names in the automaton of one pass over the texts.
+NAMES_BYTES = 32 << 20
+
+
+class _Fold(dict):
+    """Characters as the pattern compares them: the lower form of the upper form, each of one character."""
+
+    def __missing__(self, code: int) -> int:
+        upper = chr(code).upper()
+        upper = upper if len(upper) == 1 else chr(code)
+        self[code] = ord(upper.lower()[0])
+        return self[code]
+
+
+_fold = _Fold()
+_automata: dict[str, object] = {}
+
+
+def folded(text: str) -> str:
+    return text.lower() if text.isascii() else text.translate(_fold)
+
+
+def _automaton(key: str, names: list[str]):
+    """The automaton that a worker used last."""
+    if key not in _automata:
+        import ahocorasick
+
+        held: dict[str, list[str]] = {}
+        for name in names:
+            held.setdefault(folded(name), []).append(name)
+        made = ahocorasick.Automaton()
+        for form, same in held.items():
+            made.add_word(form, same)
+        made.make_automaton()
+        _automata.clear()
+        _automata[key] = made if held else None
+    return _automata[key]
+
+
+def _named(texts: DataFrame, names: list[str]) -> DataFrame:
+    """id, text, names: those that a text may hold, by one pass over it."""
+    shared, key = texts.sparkSession.sparkContext.broadcast(names), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _automaton(key, shared.value)
+        for batch in batches:
+            rows = [sorted({n for _, same in found.iter(folded(t)) for n in same}) if t and found else [] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], names=["id", "text", "names"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, names array<string>")
+
+
+def many_whole_word_matches(names: DataFrame, texts: DataFrame, names_bytes: int = NAMES_BYTES) -> DataFrame:
+    """``whole_word_matches`` for many names, however many begin alike: an automaton of all of them, which each worker keeps, reads a
+    text once; the pattern is asked only about the names that it finds. Names beyond ``names_bytes`` are looked for in further passes."""
+    wanted = names.select("name").filter(F.col("name").rlike(r"(?U)[\w-]")).distinct()
+    total = wanted.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]
+    passes, hits = max(1, -(-total // names_bytes)), None
+    for i in range(passes):
+        # about ``names_bytes`` of names
+        some = [r.name for r in wanted.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i).collect()]
+        held = _named(texts, some).select("id", F.explode(F.filter("names", lambda n: F.regexp_like("text", _whole(n)))).alias("name"))
+        hits = held if hits is None else hits.unionAll(held)
+    counts = hits.distinct().groupBy("name").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
+    return names.join(counts, "name", "left").select("name", "id", F.coalesce("matches", F.lit(0)).alias("matches"))
+
+
 def first_registered(rows: DataFrame, key: Column, label: str) -> DataFrame:
     """key, label: the least label of each normalized form."""
     return rows.select(key.alias("key"), F.col(label).alias("label")).groupBy("key").agg(F.min("label").alias("label"))
@@ -97,4 +175,4 @@ def positions(people: DataFrame, person: str, label: str, known_levels: list[str
     return each.filter("role IS NOT NULL OR level IS NOT NULL").distinct()
 
 
-__all__ = ["first_by", "first_registered", "longest_prefix", "name_index", "owners", "positions", "replaced_labels", "resolve", "suffix_matches", "whole_word_matches"]
+__all__ = ["first_by", "first_registered", "longest_prefix", "many_whole_word_matches", "name_index", "owners", "positions", "replaced_labels", "resolve", "suffix_matches", "whole_word_matches"]

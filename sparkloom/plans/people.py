@@ -148,6 +148,14 @@ def whole_word_match(spark: SparkSession, d: str) -> DataFrame:
     return people.whole_word_matches(r.select(F.col("r_name").alias("name")), texts).select("name", "matches")
 
 
+@query("whole_word_match_many", "SELECT c_name AS name, count(o_orderkey) AS matches FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def whole_word_match_many(spark: SparkSession, d: str) -> DataFrame:
+    """All customers' names, which begin with the same word, in a text for each order."""
+    customers = table(spark, d, "customer")
+    texts = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("id"), F.concat(F.lit("for customer "), F.upper("c_name"), F.lit(", "), "o_orderpriority").alias("text"))
+    return people.many_whole_word_matches(customers.select(F.col("c_name").alias("name")), texts).select("name", "matches")
+
+
 @query("first_registered", "SELECT lower(c_mktsegment) AS key, min(c_name) AS label FROM customer GROUP BY 1")
 def first_registered(spark: SparkSession, d: str) -> DataFrame:
     return people.first_registered(table(spark, d, "customer"), names.normalize_name(F.col("c_mktsegment")), "c_name")

@@ -297,14 +297,17 @@ def change_hooks(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(found, "hook string, told string")
 
 
-@query("deferred_columns", "SELECT c_custkey, c_name, n_name, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query("deferred_columns", """
+WITH t AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT d.doc_id, source, CASE WHEN t.doc_id IS NOT NULL THEN length(text) END AS size FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id""")
 def deferred_columns(spark: SparkSession, d: str) -> DataFrame:
-    """Actors with their places, whose heavy columns are left out of the scan and recalled for the few rows that are shown."""
-    places = table(spark, d, "nation").withColumn("geometry", F.repeat(F.col("n_name"), 100))
-    light = browse.deferred(places, ("geometry", "n_comment", "absent"))
-    joined = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").join(light, F.col("c_nationkey") == F.col("n_nationkey"))
-    shown = browse.recalled(joined.filter("c_custkey < 0"), "n_nationkey", places, ("geometry",))
-    return joined.select("c_custkey", "c_name", "n_name", "n_regionkey").unionByName(shown.select("c_custkey", "c_name", "n_name", "n_regionkey"))
+    """Documents without their texts, which are recalled for those that are shown, the toxic ones."""
+    docs = table(spark, d, "documents")
+    light = browse.deferred(docs, ("text", "absent")).select("doc_id", "source")
+    wanted = table(spark, d, "labels").filter("toxic = 1").select("doc_id").distinct()
+    shown = browse.recalled(light.join(wanted, "doc_id", "left_semi"), "doc_id", docs, ("text",))
+    rest = light.join(wanted, "doc_id", "left_anti").withColumn("size", F.lit(None).cast("int"))
+    return shown.select("doc_id", "source", F.length("text").alias("size")).unionByName(rest)
 
 
 @query("request_parameters", """

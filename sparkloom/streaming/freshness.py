@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparkloom.operators import bucketed
 from sparkloom.operators.upsert import Policy, freshest, matched, new_state
 from sparkloom.sources.sinks import current, publish
 
@@ -32,6 +33,18 @@ def follow(spark: SparkSession, source: str, schema: str, root: str, checkpoint:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_into_buckets(spark: SparkSession, source: str, schema: str, root: str, table: str, checkpoint: str, key: list[str], time: str, buckets: int = bucketed.BUCKETS) -> StreamingQuery:
+    """``follow`` for large state: a batch meets, and publishes, the buckets of its keys alone, whatever the size of the table, which is
+    read by ``bucketed.read``. A batch that is run again after a failure changes nothing."""
+
+    def merge(batch: DataFrame, _: int) -> None:
+        newest = freshest(batch.withColumn("__nth", F.monotonically_increasing_id()), key, time, "__nth").drop("__nth")
+        bucketed.upsert(newest.select(*batch.columns), root, table, key, Policy(fresh=time), buckets)
+
+    stream = spark.readStream.schema(schema).json(source)
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, time: str, size: str, late: str, *by: str) -> DataFrame:
     """Events in windows of time; rows later than ``late`` after the newest are left out once their window is closed."""
     return events.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import or_empty, strip
+from sparkloom.scratch import written
 
 _SEGMENT = "struct<kind:string,text:string,attribution:string>"
 
@@ -95,7 +96,8 @@ def shards(rows: DataFrame, order: list[str], k: int) -> DataFrame:
     """Contiguous balanced shards: the first ``n mod k`` get one row more; sizes come from a count, and positions from
     offsets of range partitions, so no task sorts everything."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    # written, as ranges are cut by a sample: a second run of the plan could cut them elsewhere
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dealt")
     nth = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     counts = nth.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition

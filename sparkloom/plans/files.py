@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import scratch
-from sparkloom.operators import align, browse, jobs, structdiff, triggers
+from sparkloom.operators import align, browse, evidence, jobs, structdiff, triggers
 from sparkloom.plans.tables import table
 from sparkloom.registry import query
-from sparkloom.sources import dumps, objects, pages, rules, sheets, sinks, versions
+from sparkloom.sources import dumps, objects, pages, rules, sheets, sinks, versions, workbooks
 
 
 def _uri(path: str) -> str:
@@ -175,12 +175,19 @@ def review_sheet(spark: SparkSession, d: str) -> DataFrame:
 
 @query("exported_sheet", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, '' AS nothing FROM supplier")
 def exported_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """One workbook, written by one task and read by another."""
     rows = table(spark, d, "supplier").select("s_suppkey", "s_name", F.lit(None).cast("string").alias("nothing"))
-    with tempfile.TemporaryDirectory() as folder:
-        path = str(Path(folder) / sinks.file_name("xlsx"))
-        sinks.export(rows, path, "xlsx")
-        found = [tuple(r.values()) for r in sheets.read(path, rows.columns)]
-    return spark.createDataFrame(found, "s_suppkey string, s_name string, nothing string")
+    path = scratch.new_path(spark, "sheet")
+    workbooks.write_shards(rows.withColumn("shard", F.lit(1)), ["s_suppkey"], path)
+    return workbooks.read_shards(spark, path, rows.columns).drop("shard")
+
+
+@query("sharded_sheets", "SELECT CAST(ntile(7) OVER (ORDER BY c_custkey) AS INTEGER) AS shard, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name FROM customer")
+def sharded_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """All customers in seven balanced workbooks, each written by a task of its own, and back."""
+    path, rows = scratch.new_path(spark, "sheets"), table(spark, d, "customer").select("c_custkey", "c_name")
+    workbooks.write_shards(evidence.shards(rows, ["c_custkey"], 7), ["c_custkey"], path, "review")
+    return workbooks.read_shards(spark, path, ["c_custkey", "c_name"])
 
 
 @query("exported_csv", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents")

@@ -127,15 +127,17 @@ def actors_in_view(bridge: DataFrame, visible: DataFrame, key: str, actor: str)
 
 
 def neighbour_pairs(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """a, b, distance: pairs nearer than ``radius``. Points meet by equality of grid cells: one side in its own cell, the other in the
-    nine around its own."""
+    """a, b, distance: pairs nearer than ``radius``. Points meet by equality of grid cells: one side in its own cell, the other there
+    and in four of the eight around, as two cells that touch need to meet once. Both sides are dealt by cell: the planner takes the
+    repeated side for as small as the points and would broadcast it."""
     cell = lambda c: F.floor(F.col(c) / radius)
-    a = points.select(F.col(key).alias("a"), F.col(x).alias("ax"), F.col(y).alias("ay"), cell(x).alias("i"), cell(y).alias("j"))
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
-    b = points.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), cell(x).alias("i0"), cell(y).alias("j0")).withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
-    b = b.select("b", "bx", "by", (F.col("i0") + F.col("di")).alias("i"), (F.col("j0") + F.col("dj")).alias("j"))
-    far = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return a.join(b, ["i", "j"]).filter(F.col("a") < F.col("b")).withColumn("distance", far).filter(F.col("distance") < radius).select("a", "b", "distance")
+    own = points.select(F.col(key).alias("p"), F.col(x).alias("px"), F.col(y).alias("py"), cell(x).alias("i"), cell(y).alias("j"))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    near = own.select(F.col("p").alias("q"), F.col("px").alias("qx"), F.col("py").alias("qy"), "i", "j", F.explode(steps).alias("s"))
+    near = near.select("q", "qx", "qy", (F.col("i") + F.col("s.i")).alias("i"), (F.col("j") + F.col("s.j")).alias("j"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("same"))
+    met = own.join(near.hint("merge"), ["i", "j"]).filter(F.when(F.col("same"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
+    far = F.sqrt((F.col("px") - F.col("qx")) * (F.col("px") - F.col("qx")) + (F.col("py") - F.col("qy")) * (F.col("py") - F.col("qy")))
+    return met.withColumn("distance", far).filter(F.col("distance") < radius).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
 
 
 def fit_box(points: DataFrame, x: str, y: str, padding: float = 40.0, least: float = 120.0) -> DataFrame:

@@ -92,8 +92,10 @@ def whole_word_matches(names: DataFrame, texts: DataFrame) -> DataFrame:
     return names.join(counts, "name", "left").select("name", "id", F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
-#: Bytes of names in the automaton of one pass over the texts.
-NAMES_BYTES = 32 << 20
+#: Up to so many bytes, names are looked for by an automaton that each worker keeps (some 20 times as large); more meet texts by words.
+NAMES_BYTES = 1 << 20
+#: So many words of a name, from its first on, are met with those of a text.
+RUN = 6
 
 
 class _Fold(dict):
@@ -145,17 +147,33 @@ def _named(texts: DataFrame, names: list[str]) -> DataFrame:
     return texts.select("id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"id {kind}, text string, names array<string>")
 
 
+def _by_words(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, name: names in texts, however many of both. A text with a name holds the name's words in a row, so they meet by equality
+    of a hash of the first ``RUN`` of these; the pattern then decides. Keys alone are dealt by hash, texts once, by id."""
+    plain = F.pandas_udf(lambda c: c.map(folded, na_action="ignore"), "string")
+    words = lambda c: F.regexp_extract_all(plain(c), F.lit(r"(?U)[\w-]+"), F.lit(0))
+    held = wanted.select("name", F.slice(words(F.col("name")), 1, RUN).alias("w")).select("name", F.size("w").alias("n"), F.xxhash64(F.array_join("w", " ")).alias("key"))
+    # at most RUN of them
+    sizes = sorted(r.n for r in held.select("n").distinct().collect())
+    kept = texts.select("id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    split = kept.select("id", words(F.col("text")).alias("w"))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
+    runs = [F.when(F.size("w") >= n, run(n)).otherwise(F.array().cast("array<bigint>")) for n in sizes]
+    keys = split.select("id", F.explode(F.array_distinct(F.flatten(F.array(*runs)) if runs else F.array().cast("array<bigint>"))).alias("key"))
+    maybe = keys.join(held.select("key", "name"), "key").select("id", "name")
+    return maybe.join(kept.withColumnRenamed("id", "at"), F.col("id").eqNullSafe(F.col("at"))).filter(F.regexp_like("text", _whole(F.col("name")))).select("id", "name")
+
+
 def many_whole_word_matches(names: DataFrame, texts: DataFrame, names_bytes: int = NAMES_BYTES) -> DataFrame:
-    """``whole_word_matches`` for many names, however many begin alike: an automaton of all of them, which each worker keeps, reads a
-    text once; the pattern is asked only about the names that it finds. Names beyond ``names_bytes`` are looked for in further passes."""
+    """``whole_word_matches`` for many names, however many begin alike. Up to ``names_bytes`` of them, an automaton, which each worker
+    keeps, reads a text once, and the pattern is asked only about the names that it finds; more names are dealt like the texts."""
     wanted = names.select("name").filter(F.col("name").rlike(r"(?U)[\w-]")).distinct()
     total = wanted.agg(F.coalesce(F.sum(F.octet_length("name")), F.lit(0))).first()[0]
-    passes, hits = max(1, -(-total // names_bytes)), None
-    for i in range(passes):
-        # about ``names_bytes`` of names
-        some = [r.name for r in wanted.filter(F.pmod(F.xxhash64("name"), F.lit(passes)) == i).collect()]
-        held = _named(texts, some).select("id", F.explode(F.filter("names", lambda n: F.regexp_like("text", _whole(n)))).alias("name"))
-        hits = held if hits is None else hits.unionAll(held)
+    if total <= names_bytes:
+        found = _named(texts, [r.name for r in wanted.collect()])
+        hits = found.select("id", F.explode(F.filter("names", lambda n: F.regexp_like("text", _whole(n)))).alias("name"))
+    else:
+        hits = _by_words(wanted, texts)
     counts = hits.distinct().groupBy("name").agg(F.count("*").alias("matches"), F.min("id").alias("id"))
     return names.join(counts, "name", "left").select("name", "id", F.coalesce("matches", F.lit(0)).alias("matches"))
 

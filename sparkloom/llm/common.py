@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Bits of a bitmap of keys, which spares a pass most rows; fixed, whatever the input.
 FILTER_BITS = 1 << 24
+#: Spark's setting by which a query's shuffle files go when it has ended, instead of at some later collection of garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Low bits of ``monotonically_increasing_id`` that count inside a partition.
 _PART_BITS = 33
 _own: dict[str, str] = {}
@@ -48,11 +50,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stage(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost one stage. The path is
-    added to ``held``, for ``release``."""
+    """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost one stage. What was shuffled
+    for it is removed, as later plans read the table. The path is added to ``held``, for ``release``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     if held is not None:
         held.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -21,6 +21,16 @@ def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key), F.posexplode(tokens(F.col(text))).alias("pos", "token")).select(key, "token", "pos")
 
 
+def words_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, words: a document's tokens between single blanks, one row each."""
+    return docs.select(F.col(key), F.array_join(tokens(F.col(text)), " ").alias("words"))
+
+
+def tokens_of_words(words: DataFrame, key: str) -> DataFrame:
+    """``token_table`` of the documents of a ``words_table``."""
+    return words.filter("words <> ''").select(F.col(key), F.posexplode(F.split("words", " ")).alias("pos", "token")).select(key, "token", "pos")
+
+
 @dataclass(frozen=True)
 class Term:
     words: tuple[str, ...]
@@ -125,11 +135,15 @@ def search_index(index: DataFrame, key: str, words: list[str]) -> DataFrame:
 
 
 def rebuild_index(docs: DataFrame, key: str, text: str, path: str) -> None:
-    """Writes the token table, in ranges of tokens, so that a search reads the few row groups that hold its own; what it holds is
-    frozen until the next rebuild."""
-    rows = token_table(docs, key, text).withColumn("apart", F.xxhash64(key))
-    # the last key splits a token that stands in many documents
-    rows.repartitionByRange("token", "apart").sortWithinPartitions("token", key).drop("apart").write.mode("overwrite").parquet(path)
+    """Writes the token table, each task's documents in order of tokens, so that a search reads the pages of each file that hold its
+    own; what it holds is frozen until the next rebuild."""
+    write_sorted(token_table(docs, key, text), path, "overwrite")
+
+
+def write_sorted(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """A token table as each task has it, in order of tokens: no row is shuffled, a token of many documents is in many files, and
+    the texts are read once."""
+    rows.sortWithinPartitions("token").write.mode(mode).parquet(path)
 
 
 def search_path(spark, path: str, key: str, words: list[str]) -> tuple[DataFrame | None, bool]:

@@ -1,10 +1,11 @@
 """A search index kept up to date in segments.
 
-Each change of the documents adds a segment: the tokens of the documents that came or changed, and the keys that it speaks for, those
-that went among them. Older segments stay as they are; what they hold of a key that a later one speaks for is dead. A reader sees one
+Each change of the documents adds a segment: the tokens of the documents that came or changed, the words of each in a row, and the keys
+that it speaks for, those that went among them. Older segments stay as they are; what they hold of a key that a later one speaks for is dead. A reader sees one
 token table, for ``search.search_by_index``: all segments, less their dead rows, which are few as later segments are
 small. Segments of like size are merged, so there are few of them, and every row is rewritten a number of times that grows with
-the logarithm of the index.
+the logarithm of the index. A merge drops dead documents by their rows of words and takes them apart into tokens again: documents
+are shuffled, tokens never.
 
 Segments are published by numbered lists (``sources.versions``); a segment's number is that of its list, so segments are in order, and two
 writers at once both count. What is indexed is the text as it is given: redacted texts are frozen until ``redaction_changes`` tells
@@ -20,28 +21,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.operators.redaction import Rule, redact_posts
-from sparkloom.operators.search import token_table
+from sparkloom.operators.search import tokens_of_words, words_table, write_sorted
 from sparkloom.operators.triggers import Change
 from sparkloom.scratch import delete
 from sparkloom.sources import versions
 
 #: So many neighbouring segments of a size class are merged; a class holds segments up to so many times as large as the one below.
 FAN = 4
-_KINDS = ("tokens", "keys")
+_KINDS = ("tokens", "keys", "words")
 
 
-def segments(tables: dict[str, str]) -> dict[int, tuple[str, str]]:
-    """By number, oldest first, the places of a segment's tokens and keys."""
+def segments(tables: dict[str, str]) -> dict[int, tuple[str | None, str, str]]:
+    """By number, oldest first, the places of a segment's tokens, None if they are left to a merge, keys and words."""
     numbers = sorted({int(name.split("-")[1]) for name in tables if name.split("-")[0] in _KINDS})
-    return {n: tuple(tables[f"{kind}-{n}"] for kind in _KINDS) for n in numbers}
+    return {n: tuple(tables.get(f"{kind}-{n}") for kind in _KINDS) for n in numbers}
 
 
-def _write(root: str, tokens: DataFrame, keys: DataFrame, key: str) -> tuple[str, str]:
-    places = tuple(f"{root.rstrip('/')}/{kind}/v-{uuid.uuid4().hex}" for kind in _KINDS)
-    # ranges of tokens, so that a search reads the row groups of its own; the last key splits a token of many documents
-    ranged = tokens.withColumn("__apart", F.xxhash64(key)).repartitionByRange("token", "__apart").sortWithinPartitions("token", key)
-    ranged.drop("__apart").write.parquet(places[0])
-    keys.write.parquet(places[1])
+def _place(root: str, kind: str) -> str:
+    return f"{root.rstrip('/')}/{kind}/v-{uuid.uuid4().hex}"
+
+
+def _write(root: str, words: DataFrame, gone: DataFrame | None, key: str, later: bool = False) -> tuple[str | None, str, str]:
+    spark, places = words.sparkSession, (None if later else _place(root, "tokens"), _place(root, "keys"), _place(root, "words"))
+    words.write.parquet(places[2])
+    # texts are taken apart once: tokens and keys are made of the words as written
+    held = spark.read.schema(words.schema).parquet(places[2])
+    if not later:
+        write_sorted(tokens_of_words(held, key), places[0])
+    keys = held.select(key, F.lit(False).alias("gone"))
+    if gone is not None:
+        keys = keys.unionByName(gone.select(key, F.lit(True).alias("gone")))
+    keys.groupBy(key).agg(F.min("gone").alias("gone")).write.parquet(places[1])
     return places
 
 
@@ -60,33 +70,33 @@ def _listed(spark: SparkSession, root: str, change: Callable[[int, dict[str, str
     raise OSError(f"no list for a segment in {root}")
 
 
-def add(docs: DataFrame, key: str, text: str, root: str, gone: DataFrame | None = None) -> None:
+def add(docs: DataFrame, key: str, text: str, root: str, gone: DataFrame | None = None, later: bool = False) -> None:
     """Adds a segment with the texts of ``docs``, whose keys are unique and not null, and without the keys of ``gone``. A key
-    of both stays."""
+    of both stays. With ``later``, for many changes at once, the token table is left to ``compact``; readers take the tokens from
+    the words until then."""
     spark = docs.sparkSession
-    keys = docs.select(key, F.lit(False).alias("gone"))
-    if gone is not None:
-        keys = keys.unionByName(gone.select(key, F.lit(True).alias("gone")))
-    places = _write(root, token_table(docs, key, text), keys.groupBy(key).agg(F.min("gone").alias("gone")), key)
-    _listed(spark, root, lambda number, tables: {f"{kind}-{number}": place for kind, place in zip(_KINDS, places, strict=True)})
+    places = _write(root, words_table(docs, key, text), gone, key, later)
+    _listed(spark, root, lambda number, tables: {f"{kind}-{number}": place for kind, place in zip(_KINDS, places, strict=True) if place})
 
 
-def _union(spark: SparkSession, held: dict[int, tuple[str, str]], which: int) -> DataFrame:
+def _union(spark: SparkSession, held: dict[int, tuple[str | None, str, str]], which: int, key: str) -> DataFrame:
     union = None
     for number, places in held.items():
-        one = spark.read.parquet(places[which]).withColumn("__segment", F.lit(number).cast("long"))
+        rows = spark.read.parquet(places[which]) if places[which] else tokens_of_words(spark.read.parquet(places[2]), key)
+        one = rows.withColumn("__segment", F.lit(number).cast("long"))
         union = one if union is None else union.unionByName(one)
     return union
 
 
-def _live(spark: SparkSession, held: dict[int, tuple[str, str]], key: str) -> DataFrame:
-    tokens = _union(spark, held, 0)
+def _live(spark: SparkSession, held: dict[int, tuple[str | None, str, str]], key: str, which: int = 0) -> DataFrame:
+    """The tokens, or words, of the segments, less the dead ones."""
+    rows = _union(spark, held, which, key)
     later = dict(list(held.items())[1:])
     if not later:
-        return tokens.drop("__segment")
-    newest = _union(spark, later, 1).groupBy(F.col(key).alias("__key")).agg(F.max("__segment").alias("__newest"))
+        return rows.drop("__segment")
+    newest = _union(spark, later, 1, key).groupBy(F.col(key).alias("__key")).agg(F.max("__segment").alias("__newest"))
     # filters on tokens go down to the files of every segment, below this join
-    return tokens.join(newest, (F.col(key) == F.col("__key")) & (F.col("__segment") < F.col("__newest")), "left_anti").drop("__segment")
+    return rows.join(newest, (F.col(key) == F.col("__key")) & (F.col("__segment") < F.col("__newest")), "left_anti").drop("__segment")
 
 
 def read(spark: SparkSession, root: str, key: str) -> DataFrame | None:
@@ -108,21 +118,31 @@ def _run(sizes: list[int], fan: int) -> int:
     return sum(t <= full[0] for t in classes) if full else 0
 
 
+def _index(spark: SparkSession, root: str, key: str, held: dict[int, tuple[str | None, str, str]]) -> None:
+    """Writes the token tables that were left for later."""
+    for n, places in held.items():
+        if places[0]:
+            continue
+        place = _place(root, "tokens")
+        write_sorted(tokens_of_words(spark.read.parquet(places[2]), key), place)
+        if not _listed(spark, root, lambda number, tables, n=n, places=places, place=place: {f"tokens-{n}": place} if segments(tables).get(n) == places else None):
+            delete(spark, place)
+
+
 def compact(spark: SparkSession, root: str, key: str, fan: int = FAN) -> int:
     """Merges neighbouring segments of like size until there are less than ``fan`` of each size class, and gives how many merges there
-    were. Keys that went are forgotten where nothing older is left. Segments that others add meanwhile stay; those that another merge
+    were. Segments that lack a token table get one. Keys that went are forgotten where nothing older is left. Segments that others add meanwhile stay; those that another merge
     took first are left to it."""
     merges = 0
     while True:
         held = segments(versions.versions(spark, root)[1])
-        run = _run([spark.read.parquet(keys).count() for _, keys in held.values()], fan)
+        run = _run([spark.read.parquet(keys).count() for _, keys, _ in held.values()], fan)
         if not run:
+            _index(spark, root, key, held)
             return merges
         merged = dict(list(held.items())[-run:])
-        keys = _union(spark, merged, 1).groupBy(key).agg(F.max_by("gone", "__segment").alias("gone"))
-        if run == len(held):
-            keys = keys.filter("NOT gone")
-        places = _write(root, _live(spark, merged, key), keys, key)
+        gone = _union(spark, merged, 1, key).groupBy(key).agg(F.max_by("gone", "__segment").alias("gone")).filter("gone")
+        places = _write(root, _live(spark, merged, key, 2), None if run == len(held) else gone, key)
         last = list(merged)[-1]
 
         def swap(number: int, tables: dict[str, str], merged=merged, places=places, last=last) -> dict[str, str | None] | None:

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkloom.operators import redaction, search, segments, triggers
 from sparkloom.operators.redaction import Rule
 from sparkloom.sources import versions
@@ -85,3 +88,32 @@ def test_by_the_change_log(spark, tmp_path):
     hooks.fire({"posts": two}, {"posts": two})
     assert len(segments.segments(versions.versions(spark, root)[1])) == 2
     assert answers(segments.read(spark, root, "id")) == answers(search.token_table(two, "id", "text"))
+
+
+def test_a_text_is_taken_apart_once(spark, tmp_path):
+    root, seen = str(tmp_path / "index"), spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    docs = spark.range(40).select("id", F.udf(read, "string")(F.concat(F.lit("quick brown "), "id")).alias("text"))
+    segments.add(docs, "id", "text", root)
+    assert seen.value == 40 and segments.read(spark, root, "id").count() == 120
+
+
+@pytest.mark.parametrize("fan", [2, 9])
+def test_tokens_left_to_the_merge(spark, tmp_path, fan, monkeypatch):
+    root, texts = str(tmp_path / "index"), {1: "quick brown fox", 2: "", 3: None, 4: "x jumps", 5: "\u017fool  of -- \u0130x"}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), SCHEMA)
+    written, real = [], segments.write_sorted
+    monkeypatch.setattr(segments, "write_sorted", lambda rows, path: (written.append(path), real(rows, path)))
+    segments.add(frame(texts), "id", "text", root, later=True)
+    segments.add(frame({4: "lazy dog"}), "id", "text", root, frame({1: ""}).select("id"), later=True)
+    segments.add(frame({2: "quick"}), "id", "text", root, later=True)
+    want = answers(search.token_table(frame({2: "quick", 3: None, 4: "lazy dog", 5: texts[5]}), "id", "text"))
+    assert not written and answers(segments.read(spark, root, "id")) == want
+    segments.compact(spark, root, "id", fan=fan)
+    held = segments.segments(versions.versions(spark, root)[1])
+    assert len(written) >= len(held) and all(tokens for tokens, _, _ in held.values()) and answers(segments.read(spark, root, "id")) == want
+    assert {(r.id, r.token, r.pos) for r in segments.read(spark, root, "id").collect()} == {(r.id, r.token, r.pos) for r in search.token_table(frame({2: "quick", 3: None, 4: "lazy dog", 5: texts[5]}), "id", "text").collect()}

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker takes from a batch at a time.
 SLICE_BYTES = 4 << 20
+#: How staged tables of whole texts are compressed: they stay until the driver ends and take a quarter less room than by default.
+TEXTS = "zstd"
 #: Bits of a bitmap of keys, which spares a pass most rows; fixed, whatever the input.
 FILTER_BITS = 1 << 24
 #: Spark's setting by which a query's shuffle files go when it has ended, instead of at some later collection of garbage.
@@ -49,7 +51,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, held: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and lost executors cost one stage. What was shuffled
     for it is removed, as later plans read the table. The path is added to ``held``, for ``release``."""
     spark = df.sparkSession
@@ -57,7 +59,7 @@ def stage(df: DataFrame, name: str, held: list[str] | None = None) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.circulant import BANDS, ROWS, Circulant
-from sparkloom.llm.common import bounded_batches, free_name, key_bitmap, maybe_among, release, slices, stage, utf8, without
+from sparkloom.llm.common import TEXTS, bounded_batches, free_name, key_bitmap, maybe_among, release, slices, stage, utf8, without
 from sparkloom.llm.shingles import mix, shingle_sets
 
 PERCENT = 85
@@ -199,12 +199,16 @@ def grouped(docs: DataFrame, percent: int, rows: int, bands: int, block: int, ro
     """doc_id, row, n_shingles, component_id, first of each row of ``docs``; ``first``, which needs row numbers, is true for one
     row of each component, that of the smallest doc_id (nulls last), then row."""
     held: list[str] = []
-    signed = stage(signatures(docs, rows, bands, row), "signatures")
+    wide: list[str] = []
+    signed = stage(signatures(docs, rows, bands, row), "signatures", wide)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     nodes = signed.filter("node is not null").groupBy("node").agg(
         F.min(place).alias("least"), F.first("n_shingles").alias("n"), F.first("origin").alias("origin"), F.first("bitmap").alias("bitmap"), F.first("buckets").alias("buckets")
     )
     nodes = stage(nodes, "nodes", held)
+    # bitmaps and buckets go on by node alone
+    signed = stage(signed.select("doc_id", "row", "n_shingles", "node"), "signed")
+    release(wide)
     every = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = stage(every.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "shared", held)
     members = stage(every.join(shared, "bucket"), "members", held)
@@ -247,7 +251,7 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT, rows: int = ROWS, band
     """One row of each component of ``docs``, all columns: that of the smallest doc_id (nulls last), of repeated rows the
     first. Rows are told by a number given once, in a staged table, so repeated and null ids part nothing and join nothing."""
     row = free_name(docs, "row_number")
-    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered", compression=TEXTS)
     gone = grouped(numbered, percent, rows, bands, block, F.col(row)).filter("NOT first").select("row")
     return without(numbered, row, gone)
 

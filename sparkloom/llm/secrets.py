@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import free_name, stage
+from sparkloom.llm.common import TEXTS, free_name, stage
 
 #: The base kinds in the order in which ties are listed, their patterns, and the least length that a match
 #: (for assign: its value) has to reach.
@@ -141,7 +141,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", repos
     there as they are; only the others meet the verdicts, by their number."""
     row, name = free_name(docs, "row"), free_name(docs, "spans")
     held = docs.withColumns({row: F.monotonically_increasing_id(), name: find_spans(F.coalesce(F.col("text"), F.lit("")))})
-    held = stage(held, "texts-and-spans")
+    held = stage(held, "texts-and-spans", compression=TEXTS)
     spans = held.select(F.col(row).alias("row"), F.col(owner).cast("string").alias("owner"), F.col(repository).cast("string").alias("repository"), F.col(name).alias("spans"))
     suspect = F.exists(name, lambda s: _looks_live(s["value"]))
     cuts = free_name(docs, "cuts")
